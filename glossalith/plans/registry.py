@@ -1,6 +1,6 @@
-"""Named queries over the test tables, and the SQL that must give the same rows."""
+"""All named queries of the engine."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import corpus_queries, evidence_queries, form_queries, literal_queries, quality_queries, table_queries  # noqa: F401
+from .base import ORACLES, QUERIES  # noqa: F401
