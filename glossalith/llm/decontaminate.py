@@ -61,6 +61,18 @@ class Index:
         self.block_max = [[(p[min(j + block, len(p)) - 1][0], max(x for _, x in p[j : j + block])) for j in range(0, len(p), block)] for p in self.postings]
         self.upper = [max(x for _, x in p) for p in self.postings]
 
+    def bounds(self, columns: int = 64):
+        """Matrix [term, group]: the term's largest impact in each of `columns` groups of neighbouring items; the last
+        row, of zeros, is for words that no item has. A passage's row sum over its words bounds every item of a group."""
+        import numpy as np
+
+        size = max(1, -(-len(self.ids) // columns))
+        out = np.zeros((len(self.postings) + 1, -(-len(self.ids) // size) or 1), np.float32)
+        for t, postings in enumerate(self.postings):
+            for k, x in postings:
+                out[t, k // size] = max(out[t, k // size], x)
+        return out
+
     def search(self, terms: set[int], threshold: float) -> list[tuple[int, float]]:
         """All items whose score on the passage's terms reaches the threshold."""
         found = []
@@ -123,9 +135,8 @@ def contaminated_pairs(
     """One row per (document, test item) whose passages hold the item.
 
     Every document is cut into passages of twice the longest item, each starting in the middle of the one before, so
-    an item copied into a text lies whole in one passage. The bound of a passage, the sum of its words' largest
-    impacts, comes from running sums over the document; passages whose bound reaches the threshold are searched by
-    block-max WAND. A retrieved item is verified on distinct 5-word shingles in the passage: min_overlap of all of the
+    an item copied into a text lies whole in one passage. Passages are bounded first, by groups of items: the sum of
+    its words' largest impacts in a group. Those that reach the threshold in some group are searched by block-max WAND. A retrieved item is verified on distinct 5-word shingles in the passage: min_overlap of all of the
     item's, and min_part each of those of its question and its answer. The best passage of a document counts.
 
     The index is sent to the tasks in blocks of at most index_bytes of item text; more items mean more passes over
@@ -172,9 +183,8 @@ def _search(docs: DataFrame, items: list, idf: dict, mean: float, threshold: flo
         import pyarrow as pa
 
         index = Index(*sent.value)
-        upper = np.array([*index.upper, 0.0])
-        size = 2 * index.longest
-        none = len(index.upper)
+        bounds = index.bounds()
+        half, none = index.longest, len(index.upper)
         term = WordCache(lambda w: index.terms.get(w.strip(EDGES), none))
         slack = 1e-9
         for batch in batches:
@@ -182,19 +192,14 @@ def _search(docs: DataFrame, items: list, idf: dict, mean: float, threshold: flo
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = text.as_buffer().to_pybytes().lower().split()
                 codes = np.fromiter(map(term.__getitem__, raw), np.int32, len(raw))
-                sums = np.concatenate([[0.0], np.cumsum(upper[codes])])
-                starts = np.arange(0, max(1, len(raw) - size // 2), size // 2)
-                bound = sums[np.minimum(starts + size, len(raw))] - sums[starts]
                 best: dict = {}
-                hit = starts[bound >= threshold - slack]
-                if len(hit) == 0:
-                    continue
+                hit = _promising(codes, bounds, half, none, threshold)
                 # edge marks alone are no words: passages are cut by words as they stand, a little shorter then
-                for start in hit.tolist():
-                    found = index.search(set(codes[start : start + size].tolist()) - {none}, threshold - slack)
+                for start in hit:
+                    found = index.search(set(codes[start : start + 2 * half].tolist()) - {none}, threshold - slack)
                     if not found:
                         continue
-                    have = set(_shingles([x for w in raw[start : start + size] if (x := w.strip(EDGES))]))
+                    have = set(_shingles([x for w in raw[start : start + 2 * half] if (x := w.strip(EDGES))]))
                     for k, score in found:
                         whole, question, answer = index.parts[k]
                         shared = len(whole & have)
@@ -207,6 +212,37 @@ def _search(docs: DataFrame, items: list, idf: dict, mean: float, threshold: flo
     return docs.mapInArrow(matched, OUT)
 
 
+def _promising(codes, bounds, half: int, none: int, threshold: float) -> list[int]:
+    """Starts of the passages (2 * half words, every half words) of which some group's bound reaches the threshold.
+
+    A word counts once in a passage: an occurrence is left out when the one before it stands in the passage too. Every
+    occurrence lies in two passages, so two running sums over the occurrences give all bounds of a text at once.
+    """
+    import numpy as np
+
+    stretch = 2048 * half
+    if len(codes) > stretch + half:  # long texts in stretches that overlap by half a passage
+        return [base + s for base in range(0, len(codes) - half, stretch) for s in _promising(codes[base : base + stretch + half], bounds, half, none, threshold)]
+    at = np.flatnonzero(codes != none)
+    if not len(at):
+        return []
+    terms = codes[at]
+    order = np.argsort(terms, kind="stable")
+    before = np.full(len(at), -1)
+    same = terms[order][1:] == terms[order][:-1]
+    before[order[1:][same]] = at[order[:-1][same]]
+    n = max(1, -(-(len(codes) - half) // half))
+    starts = np.arange(n) * half
+    edges = np.searchsorted(at, np.arange(n + 2) * half)
+    own = at // half * half
+    rows = bounds[terms]
+    zero = np.zeros((1, rows.shape[1]), np.float32)
+    first = np.concatenate([zero, np.cumsum(np.where((before < own)[:, None], rows, 0), axis=0, dtype=np.float64)])
+    second = np.concatenate([zero, np.cumsum(np.where((before < own - half)[:, None], rows, 0), axis=0, dtype=np.float64)])
+    total = first[edges[1 : n + 1]] - first[edges[:n]] + second[edges[2 : n + 2]] - second[edges[1 : n + 1]]
+    return starts[total.max(axis=1) >= threshold - 1e-5].tolist()
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
     """docs without the documents that hold a test item."""
     found = contaminated_pairs(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("leaked__")).distinct()
