@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -18,32 +20,71 @@ SHARD_SCHEMA = T.StructType([T.StructField("shard", T.IntegerType()), T.StructFi
 _LOADED: dict = {}
 
 
-def _encoder(path: str, limit: int = 500_000):
-    """bytes -> little-endian 32-bit ids, through a bounded cache by word.
+def _byte_letters() -> list[str]:
+    """Letters that stand for bytes in byte-level vocabularies: printable Latin-1 bytes stand for themselves, the
+    others take the code points from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    shifted = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(shifted)) for b in range(256)]
+
+
+def _encoder(path: str, limit: int = 300_000):
+    """bytes -> little-endian 32-bit ids, through a cache by word: two generations of at most `limit` words each, the
+    older of which is dropped when the younger is full.
 
     A text is cut at ASCII white space, which the tokenizer drops and never lets a piece cross, so the ids of the
-    words in order are the ids of the text.
+    words in order are the ids of the text. It also lowers case, so A-Z are lowered before the cache is asked (texts
+    that hold a mark of its special tokens excepted, whose case counts). A new word that is letters alone, but for marks
+    at its end, is one piece and one piece of marks: these go to the vocabulary's merges at once. All other words go
+    through the whole tokenizer.
     """
     if path in _LOADED:
         return _LOADED[path]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import numpy as np
     from tokenizers import Tokenizer
 
-    tokenizer, cache = Tokenizer.from_file(path), {}
+    tokenizer, cache, older, letters = Tokenizer.from_file(path), {}, {}, _byte_letters()
+    four = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+    settings = json.loads(tokenizer.to_str())
+    lowers = "Lowercase" in json.dumps(settings.get("normalizer"))
+    plain = settings["pre_tokenizer"] is not None and settings["model"].get("dropout") is None and lowers
+    model = tokenizer.model
+
+    def packed(ids: list[int]) -> bytes:
+        return b"".join([four[i] for i in ids])
+
+    def whole(word: bytes) -> bytes:
+        return packed(tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+
+    def new(word: bytes) -> bytes:
+        stem = word.rstrip(b".,;:!?")
+        text = stem.decode("utf-8", "replace")
+        if not plain or not text.isalpha() or text != text.lower() or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
+            return whole(word)
+        ids = cache.get(stem)
+        if ids is None:
+            ids = cache[stem] = packed([t.id for t in model.tokenize(text if text.isascii() else "".join(map(letters.__getitem__, stem)))])
+        if len(stem) == len(word):
+            return ids
+        tail = word[len(stem) :]
+        marks = cache.get(tail)
+        if marks is None:
+            marks = cache[tail] = whole(tail)
+        return ids + marks
 
     def encode(text: bytes) -> bytes:
-        words = text.split()
+        nonlocal cache, older
+        words = (text.lower() if lowers and b"<|" not in text else text).split()
         parts = list(map(cache.get, words))
         if None in parts:
-            missing = list({w for w, p in zip(words, parts, strict=True) if p is None})
-            if len(cache) + len(missing) > limit:
-                cache.clear()
-                missing = list(set(words))
-            new = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-            fresh = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(missing, new, strict=True)}
-            cache.update(fresh)
-            parts = list(map(cache.__getitem__, words))
+            if len(cache) > limit:
+                cache, older = {}, cache
+            at = -1
+            for _ in range(parts.count(None)):
+                at = parts.index(None, at + 1)
+                word = words[at]
+                part = cache.get(word) or older.get(word)
+                parts[at] = cache[word] = new(word) if part is None else part
         return b"".join(parts)
 
     _LOADED[path] = encode
