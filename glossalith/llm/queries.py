@@ -105,7 +105,37 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_token_output, op4_url_filter, op5_exact_dedup, op6_mixing, op7_decontamination, op8_tool_calls, op9_secrets, op10_near_dedup, pipeline)}
 
+_BLANK = r"[\x20\x09-\x0D]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Distinct 5-word shingles of a list of words w; fewer words are one, none gives an empty list.
+_SHINGLES = "CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) END"
+_WORDS = f"list_filter(string_split_regex({_LOWER.format('text')}, '{_BLANK}'), lambda x: x <> '')"
+_NORMAL = "list_filter(list_transform({words}, lambda x: trim(x, '.,;:!?\"''()[]{{}}<>|*#$%&_-')), lambda x: x <> '')".format(words=_WORDS)
+
 ORACLES: dict[str, str] = {
+    "op7_decontamination": f"""
+        WITH parted AS (SELECT item_id, text, string_split(regexp_replace(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), '([.!?])[\\x20\\x09-\\x0D]+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM benchmark),
+        parts AS (SELECT item_id, 'whole' AS part, text FROM parted UNION ALL SELECT item_id, 'question', CASE WHEN len(s) > 1 THEN array_to_string(s[1:len(s) - 1], ' ') ELSE text END FROM parted
+                  UNION ALL SELECT item_id, 'answer', CASE WHEN len(s) > 1 THEN s[len(s)] ELSE text END FROM parted),
+        item AS (SELECT item_id, part, unnest({_SHINGLES}) AS g FROM (SELECT item_id, part, {_NORMAL} AS w FROM parts)),
+        size AS (SELECT item_id, part, count(*) AS n FROM item GROUP BY 1, 2),
+        doc AS (SELECT doc_id, unnest({_SHINGLES}) AS g FROM (SELECT doc_id, {_NORMAL} AS w FROM documents)),
+        hits AS (SELECT doc_id, item_id, part, count(*) AS k FROM doc JOIN item USING (g) GROUP BY 1, 2, 3)
+        SELECT w.doc_id, w.item_id, sw.n AS item_shingles, w.k AS shared_shingles
+        FROM hits w JOIN size sw ON w.item_id = sw.item_id AND sw.part = 'whole'
+        JOIN hits q ON q.doc_id = w.doc_id AND q.item_id = w.item_id AND q.part = 'question' JOIN size sq ON sq.item_id = w.item_id AND sq.part = 'question'
+        JOIN hits a ON a.doc_id = w.doc_id AND a.item_id = w.item_id AND a.part = 'answer' JOIN size sa ON sa.item_id = w.item_id AND sa.part = 'answer'
+        WHERE w.part = 'whole' AND w.k >= 0.8 * sw.n AND q.k >= 0.5 * sq.n AND a.k >= 0.5 * sa.n
+    """,
+    "op10_near_dedup": f"""
+        WITH RECURSIVE sets AS (SELECT doc_id, {_SHINGLES} AS g FROM (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents)),
+        flat AS (SELECT doc_id, unnest(g) AS g FROM sets),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM shared JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * k >= 85 * (len(x.g) + len(y.g) - k)),
+        reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        low AS (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY 1)
+        SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(low, doc_id)) AS kept FROM sets LEFT JOIN low USING (doc_id)
+    """,
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(text, '') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
