@@ -307,6 +307,22 @@ def citation_text(c: Column, raags: dict[str, str], sections: dict[str, str], bh
     return F.when(text == "", c["raw"]).when(c["work_type"] == "dasam_granth", F.concat(text, F.lit(" (Dasam Granth)"))).otherwise(text)
 
 
+def as_parsed(parsed: Column) -> Column:
+    """The parsed struct if it carries a parser version, else null."""
+    return F.when(parsed["parser_version"].isNotNull(), parsed)
+
+
+def xref_targets(senses: Column) -> Column:
+    """Distinct targets, decomposed, over an array of parsed senses; null senses count as none."""
+    lists = F.transform(senses, lambda s: F.coalesce(F.transform(s["xrefs"], lambda x: nfd(x["target"])), F.array().cast("array<string>")))
+    return F.array_distinct(F.flatten(lists))
+
+
+def distinct_citations(citations: Column, raags: dict[str, str], sections: dict[str, str], bhagats: dict[str, str]) -> Column:
+    """Citations in words, repeats left out, in order of first appearance."""
+    return F.array_distinct(F.transform(citations, lambda c: citation_text(c, raags, sections, bhagats)))
+
+
 def highlight(line: Column, word: Column, left: str = "<mark>", right: str = "</mark>") -> Column:
     """The line with its first occurrence of the word wrapped."""
     at = F.position(word, line)

@@ -85,6 +85,12 @@ def auto_flags(rows: DataFrame, rules: DataFrame, reading_rows: DataFrame, open_
     return new.join(old, same, "left_anti")
 
 
+def normalised_pos(rows: DataFrame, mappings: DataFrame, column: str = "pos") -> DataFrame:
+    """rows with pos_norm: the mapped part of speech (raw, norm), or the raw one when the mapping lacks it."""
+    joined = rows.join(mappings.select(F.col("raw").alias(column), "norm"), column, "left")
+    return joined.withColumn("pos_norm", F.coalesce("norm", column)).drop("norm")
+
+
 def flag_queue(flags: DataFrame, words: DataFrame, view: str = "review", cap: int = 150) -> DataFrame:
     """Open flags of the `cap` most frequent words of a view (doubt: automatic doubts; review: the rest), grouped by
     word in order of frequency: word_rank, word, frequency, flags, hidden_words (the number beyond the cap)."""

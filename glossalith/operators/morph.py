@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.script import GURMUKHI, Script, group_stem, stem
+from ..functions.phonetics import ipa_column, over_distinct
+from ..functions.script import GURMUKHI, Script, fold_key, group_stem, stem
 from ..functions.text import POS_CONFIDENCE, analyze_noun, analyze_verb, inflection_desc, pos_of_definition
 
 NOMINAL = ["noun", "adjective", "pronoun"]
 INHERITED_CONFIDENCE = 0.6
 
 
+def populate(words: DataFrame, word: str = "gurmukhi", script: Script = GURMUKHI) -> DataFrame:
+    """words with ipa_display and search_fold computed anew, each distinct spelling once; an empty fold is null."""
+    spelled = over_distinct(words.drop("ipa_display"), word, ipa_column, "ipa_display")
+    return spelled.withColumn("search_fold", F.nullif(fold_key(F.col(word), script), F.lit("")))
+
+
 def stem_groups(words: DataFrame, word: str = "gurmukhi", script: Script = GURMUKHI) -> DataFrame:
     """words with stem and stem_group_size. Bare stems are left out before counting, so they don't add to the size."""
     stemmed = words.withColumn("stem", group_stem(F.col(word), script)).filter(f"stem <> '' and stem <> {word}")

@@ -212,3 +212,26 @@ def test_stream_counts_once(spark, tmp_path):
     assert spark.read.parquet(f"{out}/occurrences").count() == 6
     counts = stream.windowed_counts(stream.line_stream(spark, str(inbox)), script=LATIN)
     assert counts.isStreaming
+
+
+def test_refresh_is_idempotent(spark, tmp_path):
+    from glossalith.plans.refresh import refresh
+
+    words = table(spark, [(1, "ਨਾਮੁ"), (2, "ਨਾਮਾ"), (3, "ਗੁਰ")], "id bigint, gurmukhi string")
+    occ, lines = table(spark, [(1, 7), (1, 8), (2, 7)], "word_id bigint, line_id bigint"), table(spark, [(7, 1, 4, "w"), (8, 2, None, None)], "id bigint, source_fk bigint, writer_id bigint, writer string")
+    definitions = table(spark, [(1, 5)], "word_id bigint, dict_source_id bigint")
+    root = str(tmp_path)
+    for _ in range(2):
+        refresh(spark, root, words, occ, lines, definitions)
+    assert tuples(spark.read.parquet(f"{root}/words"), "id", "frequency", "in_corpus") == [(1, 2, True), (2, 1, True), (3, 0, False)]
+    assert tuples(spark.read.parquet(f"{root}/word_source_stats")) == [(1, 5, 1), (2, None, 1), (3, None, 1)]
+    assert spark.read.parquet(f"{root}/word_stem_groups").count() == 2 and spark.read.parquet(f"{root}/word_writer_stats").count() == 2
+
+
+def test_functions_in_sql(spark):
+    from glossalith.functions.register import register
+
+    register(spark)
+    assert spark.sql("select display_ipa('ਸਤਿ') a, match_fold('kərm') b, devanagari_slp1('धर्म') c").first() == ("sət̪ɪ", "karm", "Darma")
+    assert [r.value for r in spark.sql("select * from grammar_facts('ਕੋਟੁ = ਕਿਲ੍ਹਾ (ਨਾਂਵ ਇਕ-ਵਚਨ) ।')").collect()] == ["singular", "noun"]
+    assert [r.part for r in spark.sql("select * from sense_parts('ਸੰ. गुर ਧਾ- ਯਤਨ.')").collect()] == ["language", "pos", "residue"]
