@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.script import GURMUKHI, Script, tokenize
+from ..sources.workspace import Workspace
 
 
 def lines_of(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -25,9 +26,11 @@ def occurrences(lines: DataFrame, keys: tuple[str, ...] = ("line_id",), script:
 
 def word_dimension(words: DataFrame, word: str = "word", order: tuple[str, ...] | None = None) -> DataFrame:
     """(word_id, word): distinct words with dense ids from 1, by first occurrence if order columns are given, else by
-    the word. Ids come from a range sort and per-partition counts, not from a window over one partition."""
+    the word. Ids come from a range sort and per-partition counts, not from a window over one partition. The sorted words
+    are written once, as ids must not change when a lost task is run again."""
     seen = words.groupBy(word).agg(F.min(F.struct(*order)).alias("first__")) if order else words.select(word).distinct()
-    placed = seen.orderBy(*(["first__", word] if order else [word])).select(word, F.monotonically_increasing_id().alias("m__"))
+    ws = Workspace(words.sparkSession, "word-ids")
+    placed = ws.save(seen.orderBy(*(["first__", word] if order else [word])).select(word, F.monotonically_increasing_id().alias("m__")), "sorted")
     parts = placed.select(F.shiftright("m__", 33).alias("p__")).groupBy("p__").count()
     before = Window.orderBy("p__").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     starts = parts.select("p__", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("s__"))
