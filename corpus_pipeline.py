@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
+from contextlib import nullcontext
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from glossalith.llm.common import Workspace, bucket_of, table
+from glossalith.llm.common import Workspace, bucket_of, scratch, table
 from glossalith.llm.decontaminate import decontaminate
 from glossalith.llm.mixing import mixed_rows
 from glossalith.llm.odd_sketch import near_dedup_keep
 from glossalith.llm.queries import END_ID, tokenizer_path
 from glossalith.llm.token_output import encode_documents, ids_crc32, read_tokens, write_tokens
-from glossalith.llm.toxicity import score_documents, train
+from glossalith.llm.toxicity import score_column, train
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.5."""
     scorer = train(docs, table(spark, sf_dir, "labels"), lambda i: bucket_of(i, 5) != 0)
-    others = {c: F.col(c) for c in docs.columns if c != "doc_id"}
-    return score_documents(docs, scorer, extra=others).filter("score < 0.5").select(*docs.columns)
+    return docs.filter(score_column(scorer, spark) < 0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents; each stage's rows are written to the shared folder and read again."""
+    """STAGES applied to documents; each stage's rows are written to the shared folder and read again. What the stages
+    wrote on the way goes once their rows are written; the last stage's token files stay."""
     ws = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = ws.save(stage(spark, docs, sf_dir), f"{k}-{name}")
-        if k > 1:
+        with scratch() if k < len(STAGES) - 1 else nullcontext():
+            docs = ws.save(stage(spark, docs, sf_dir), f"{k}-{name}")
+        if k:
             ws.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs

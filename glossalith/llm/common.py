@@ -1,17 +1,15 @@
-"""Shared pieces: the shared work folder, table reads, and byte-level word handling for Arrow workers."""
+"""Shared pieces: table reads, folds, and byte-level word handling for Arrow workers."""
 
 from __future__ import annotations
 
-import atexit
 import math
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.workspace import Workspace, scratch, shared_dir  # noqa: F401
+
 #: Word pattern of the contracts: runs of bytes other than ASCII white space. bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,44 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Only a session without the setting (tests on one machine) gets a temporary folder of its own.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + (folder := tempfile.mkdtemp(prefix="glossalith-"))
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-class Workspace:
-    """Tables written to the shared folder.
-
-    A written table cuts lineage and survives lost executors: a retried task rereads files, not shuffle output.
-    """
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-    def save(self, df: DataFrame, name: str, **options: object) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.options(**{"compression": "zstd"} | options).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def drop(self, *names: str) -> None:
-        """Deletes tables that no later step reads."""
-        jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bucket_of(col: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo: the folds of the contracts."""
     return F.crc32(col.cast("string").cast("binary")) % F.lit(modulus)

@@ -8,10 +8,12 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, Workspace, rename_free, sigmoid, utf8
+from .common import WordCache, Workspace, sigmoid, utf8
+from .odd_sketch import shingle_set
 
 # Letters that a mark or digit may stand for.
 LEET = {
@@ -49,13 +51,11 @@ def character_model(docs: DataFrame, text_col: str = "text"):
 
     def counted(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
-
         total, words = np.zeros(SYMBOLS**3), Counter()
         for batch in batches:
             for text in batch.column(0):
                 words.update(text.as_buffer().to_pybytes().decode("utf-8", "replace").lower().split())
-                if len(words) > 100_000:
+                if len(words) > 60_000:
                     total += trigram_counts(words)
                     words.clear()
         total += trigram_counts(words)
@@ -187,12 +187,12 @@ class Scorer:
         return set(words) | set(spaced(words))
 
     def evidence(self, tokens: set[str], lookup, own: int | None = None) -> float:
-        """The two strongest words' weights; of a word, its strongest feature counts."""
+        """The strongest word's weight and a third of the next one's; of a word, its strongest feature counts."""
         if own is None:
             top = sorted((w for w in map(lookup.__getitem__, tokens) if w), reverse=True)[:2]
         else:
             top = sorted((max((self.weight(f, own) for f in names), default=0.0) for names in map(lookup.__getitem__, tokens) if names), reverse=True)[:2]
-        return sum(x for x in top if x > 0)
+        return sum(max(x, 0.0) / (1 + 2 * k) for k, x in enumerate(top))
 
     def names(self, token: str) -> tuple[str, ...]:
         return tuple(f for w in restored_words(token, self.model) for f in features(w) if f in self.counts)
@@ -204,11 +204,29 @@ class Scorer:
         return sigmoid(self.slope * evidence + self.offset)
 
 
-def train(docs: DataFrame, labels: DataFrame, train_filter=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 20_000, min_documents: int = 4, min_share: float = 0.001) -> Scorer:
+def _surprise(pos: int, neg: int, base: float) -> float:
+    """Twice the log likelihood ratio of a feature's own rate to the base rate; 0 when its rate isn't above it."""
+    n = pos + neg
+    if pos <= n * base:
+        return 0.0
+    return 2 * (pos * math.log(pos / (n * base)) + (neg * math.log(neg / (n * (1 - base))) if neg else 0.0))
+
+
+def _signatures(batches: Iterator) -> Iterator:
+    """(label, smallest hash of a text's 5-word shingles, text): near copies mostly agree in it."""
+    import numpy as np
+    for batch in batches:
+        sets = (shingle_set(t.as_buffer().to_pybytes()).view(np.int64) for t in batch.column(1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(s.min()) if len(s) else 0 for s in sets], pa.int64()), batch.column(1)], names=["label", "signature", "text"])
+
+
+def train(docs: DataFrame, labels: DataFrame, train_filter=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 20_000, min_documents: int = 4, min_share: float = 0.001, min_surprise: float = 20.0, min_purity: float = 0.6) -> Scorer:
     """Learns from at most about max_labelled labelled rows, chosen by a hash of their id (the bound also bounds what
     is broadcast); the character model and with it the restoring of words is from all documents.
 
-    A feature counts when at least min_documents and min_share of the sample's toxic documents have it. An id labelled
+    A feature counts when at least min_documents and min_share of the sample's toxic documents have it, more often than
+    the base rate explains (min_surprise: twice the log likelihood ratio; 20 is one in 100,000) and in most of its
+    documents (min_purity). An id labelled
     more than once is toxic if any label says so; null labels and ids are left out.
     """
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "toxicity")
@@ -220,7 +238,9 @@ def train(docs: DataFrame, labels: DataFrame, train_filter=None, id_col: str = "
         return scorer
     chosen = known.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < int(min(1.0, max_labelled / n) * (1 << 30)))
     rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).join(F.broadcast(chosen), "id").select("label", "text")  # chosen is bounded by max_labelled
-    sample = ws.save(rows, "sample")
+    # near copies would lend every word of theirs the weight of many documents: of a signature and label one row stays
+    signed = rows.mapInArrow(_signatures, "label int, signature bigint, text binary")
+    sample = ws.save(signed.groupBy("label", "signature").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select("label", F.col("x.text").alias("text")), "sample")
     sizes = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     positive, negative = sizes.get(1, 0), sizes.get(0, 0)
     if not positive or not negative:
@@ -231,10 +251,8 @@ def train(docs: DataFrame, labels: DataFrame, train_filter=None, id_col: str = "
 
     def tally(wanted=None):
         def run(batches: Iterator) -> Iterator:
-            import pyarrow as pa
-
             own, seen = Scorer(model.value), Counter()
-            words = WordCache(lambda t: tuple(f for w in restored_words(t, own.model) for f in features(w) if wanted is None or f in wanted.value))
+            words = WordCache(lambda t: tuple(f for w in restored_words(t, own.model) for f in features(w) if wanted is None or f in wanted.value), 50_000)
             for batch in batches:
                 for text in batch.column(0):
                     seen.update({f for t in own.tokens(text.as_buffer().to_pybytes().decode("utf-8", "replace")) for f in words[t]})
@@ -249,14 +267,12 @@ def train(docs: DataFrame, labels: DataFrame, train_filter=None, id_col: str = "
     pos = {r[0]: r[1] for r in counts(1).filter(F.col("n") >= max(min_documents, min_share * positive)).collect()}
     neg = {r[0]: r[1] for r in counts(0, spark.sparkContext.broadcast(frozenset(pos))).collect()} if pos else {}
     pairs = {k: (p, neg.get(k, 0)) for k, p in pos.items()}
-    scorer.counts = {k: v for k, v in pairs.items() if v[0] / (v[0] + v[1]) > 2 * scorer.base / (1 + scorer.base)}
+    scorer.counts = {k: v for k, v in pairs.items() if _surprise(*v, scorer.base) >= min_surprise and v[0] >= min_purity * (v[0] + v[1])}
     sent = spark.sparkContext.broadcast(scorer)
 
     def held_out(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         own = sent.value
-        lookup = WordCache(own.names)
+        lookup = WordCache(own.names, 100_000)
         for batch in batches:
             labels_ = batch.column(0).to_pylist()
             out = [own.evidence(own.tokens(t.as_buffer().to_pybytes().decode("utf-8", "replace")), lookup, y) for t, y in zip(batch.column(1), labels_, strict=True)]
@@ -288,23 +304,22 @@ def _logistic(points: list[tuple[float, int, int]], rounds: int = 50, ridge: flo
     return a, b
 
 
-def score_documents(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
-    """One row per input row: id, extra columns, score. Null and empty texts have no evidence and score as such."""
-    sent = docs.sparkSession.sparkContext.broadcast(scorer)
-    extra = extra or {}
-
-    def scored(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+def score_column(scorer: Scorer, spark: SparkSession, text_col: str = "text") -> Column:
+    """The score of a text column. Only the texts go to Python; a row's other columns wait in the JVM."""
+    sent = spark.sparkContext.broadcast(scorer)
 
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = sent.value
-        lookup = WordCache(own.token_weight, 400_000)
+        lookup = WordCache(own.token_weight, 150_000)
         for batch in batches:
-            out = [own.score(own.evidence(own.tokens(t.as_buffer().to_pybytes().decode("utf-8", "replace")), lookup)) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.float64())], names=[*batch.schema.names[1:], "score"])
+            yield pa.array([own.score(own.evidence(own.tokens(t.as_buffer().to_pybytes().decode("utf-8", "replace")), lookup)) for t in batch], pa.float64())
+
+    return F.arrow_udf(scored, "double")(utf8(text_col))
 
-    rows = docs.select(utf8(text_col).alias(rename_free([id_col, *extra], "bytes")), F.col(id_col), *(c.alias(k) for k, c in extra.items()))
-    kinds = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes[1:])
-    return rows.mapInArrow(scored, f"{kinds}, score double")
+
+def score_documents(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
+    """One row per input row: id, extra columns, score. Null and empty texts have no evidence and score as such."""
+    return docs.select(F.col(id_col), *(c.alias(k) for k, c in (extra or {}).items()), score_column(scorer, docs.sparkSession, text_col).alias("score"))
 
 
 def restore_documents(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,8 +327,6 @@ def restore_documents(docs: DataFrame, model, id_col: str = "doc_id", text_col:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def restored(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         cache = WordCache(lambda t: " ".join(restored_words(t, sent.value)) or t)
         for batch in batches:
             out = []
