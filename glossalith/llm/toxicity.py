@@ -212,6 +212,17 @@ def _surprise(pos: int, neg: int, base: float) -> float:
     return 2 * (pos * math.log(pos / (n * base)) + (neg * math.log(neg / (n * (1 - base))) if neg else 0.0))
 
 
+def _unexplained(pairs: dict[str, tuple[int, int]]) -> dict[str, tuple[int, int]]:
+    """Each feature's counts less those of the features that continue it by a letter, or are the whole word."""
+    left = {k: list(v) for k, v in pairs.items()}
+    for name, counts in pairs.items():
+        word = name[1:]
+        parent = "^" + (word[:6] if name[0] == "=" else word[:-1])
+        if parent in left:
+            left[parent] = [max(0, a - b) for a, b in zip(left[parent], counts, strict=True)]
+    return {k: (a, b) for k, (a, b) in left.items()}
+
+
 def _signatures(batches: Iterator) -> Iterator:
     """(label, smallest hash of a text's 5-word shingles, text): near copies mostly agree in it."""
     import numpy as np
@@ -226,7 +237,8 @@ def train(docs: DataFrame, labels: DataFrame, train_filter=None, id_col: str = "
 
     A feature counts when at least min_documents and min_share of the sample's toxic documents have it, more often than
     the base rate explains (min_surprise: twice the log likelihood ratio; 20 is one in 100,000) and in most of its
-    documents (min_purity). An id labelled
+    documents (min_purity); a beginning also in those that its known continuations leave: toxic documents with one word
+    don't make all words that begin like it toxic. An id labelled
     more than once is toxic if any label says so; null labels and ids are left out.
     """
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "toxicity")
@@ -267,7 +279,9 @@ def train(docs: DataFrame, labels: DataFrame, train_filter=None, id_col: str = "
     pos = {r[0]: r[1] for r in counts(1).filter(F.col("n") >= max(min_documents, min_share * positive)).collect()}
     neg = {r[0]: r[1] for r in counts(0, spark.sparkContext.broadcast(frozenset(pos))).collect()} if pos else {}
     pairs = {k: (p, neg.get(k, 0)) for k, p in pos.items()}
-    scorer.counts = {k: v for k, v in pairs.items() if _surprise(*v, scorer.base) >= min_surprise and v[0] >= min_purity * (v[0] + v[1])}
+    unexplained = _unexplained(pairs)
+    mostly = lambda p, n: p >= min_purity * (p + n)
+    scorer.counts = {k: v for k, v in pairs.items() if mostly(*v) and (sum(unexplained[k]) < 3 or mostly(*unexplained[k])) and _surprise(*v, scorer.base) >= min_surprise}
     sent = spark.sparkContext.broadcast(scorer)
 
     def held_out(batches: Iterator) -> Iterator:
