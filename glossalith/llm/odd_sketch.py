@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordCache, Workspace, ascii_words, utf8
@@ -14,6 +14,8 @@ from .components import connected_components
 #: Rows of a band and number of bands: a pair of similarity 0.85 shares no band with probability 4e-7.
 ROWS, BANDS = 4, 20
 SAMPLES = ROWS * BANDS
+#: Most rounds in which every component makes one offer, before the pairs still open are all confirmed.
+OFFER_ROUNDS = 4
 #: Bits of an odd sketch; about six times the samples, so parities rarely cancel.
 BITS = 512
 
@@ -31,7 +33,7 @@ def shingle_set(text: bytes, words_per_shingle: int = 5):
     import numpy as np
 
     global _WORDS
-    _WORDS = WordCache(_word_hash) if _WORDS is None else _WORDS
+    _WORDS = WordCache(_word_hash, 150_000) if _WORDS is None else _WORDS
     words = ascii_words(text)
     if not words:
         return np.empty(0, np.uint64)
@@ -124,11 +126,11 @@ def odd_similarity(x: Column, y: Column) -> Column:
     return F.when(part <= 0, F.lit(0.0)).otherwise(1 + F.lit(BITS / (4 * SAMPLES)) * F.log(F.greatest(part, F.lit(1e-9))))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int, words_per_shingle: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 |intersection| >= percent |union|. b is the side with few values: its
+def _intersections(pairs: DataFrame, texts: DataFrame, words_per_shingle: int) -> DataFrame:
+    """(a, b, n_a, n_b, both): sizes of the pairs' full sets and of their intersection. b is the side with few values: its
     set is built once for all rows that follow each other, as the join leaves them sorted by b."""
 
-    def linked(batches: Iterator) -> Iterator:
+    def counted(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
@@ -139,16 +141,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, words_per_shingl
                 if b != last:
                     last, other = b, shingle_set(batch.column(3)[k].as_buffer().to_pybytes(), words_per_shingle)
                 own = shingle_set(batch.column(2)[k].as_buffer().to_pybytes(), words_per_shingle)
-                small, large = min(len(own), len(other)), max(len(own), len(other))
-                if 100 * small >= percent * large:
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    if 100 * both >= percent * (len(own) + len(other) - both):
-                        out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+                out.append((a, b, len(own), len(other), len(np.intersect1d(own, other, assume_unique=True))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(5)], names=["a", "b", "n_a", "n_b", "both"])
 
     rows = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     rows = rows.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(linked, "a bigint, b bigint")
+    return rows.select("a", "b", "text_a", "text_b").mapInArrow(counted, "a bigint, b bigint, n_a bigint, n_b bigint, both bigint")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, words_per_shingle: int) -> DataFrame:
+    """The pairs (a, b) with 100 |intersection| >= percent |union|."""
+    counted = _intersections(pairs, texts, words_per_shingle)
+    return counted.filter(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent).select("a", "b")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, words_per_shingle: int = 5) -> DataFrame:
@@ -156,12 +160,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     1. One Arrow pass makes each text's class (digest of its shingle set), band keys and odd sketch.
     2. Rows of one class are one node, so copies never meet in pairs; nodes that share a band key make a bucket.
-    3. In every bucket two stars are proposed: around the member whose buckets are largest (of near copies, usually
-       their common origin) and around the smallest. Odd sketches discard proposals of low similarity; the rest are
-       confirmed on the full sets and joined into components.
-    4. Pairs left in a bucket across components are all proposed too, each member outside the bucket's largest
-       component against the other components' members, so no link between candidates is lost. Within a component
-       nothing more is compared.
+    3. In rounds, each component makes one offer: of its members' neighbours in a bucket (next to each other in the order
+       of the following bands) and of the buckets' heaviest members, the one that the odd sketches find most similar. The
+       offers are confirmed on the full sets and join components, so a round has at most as many pairs as components.
+    4. Pairs left in a bucket across components are all proposed after that, each member outside the bucket's largest
+       component against the other components' members, so no link between candidates is lost. Left out are
+       only pairs that can't be linked by exact bounds (see there): of many loose copies of one text, these leave hardly
+       any. Within a component nothing more is compared.
 
     Linked means 100 |intersection| >= percent |union|. component_id is the smallest id reachable; kept is
     id = component_id; representative is true for exactly one row of a component, also when ids repeat.
@@ -180,40 +185,57 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = classes.filter("n_shingles > 0").select(F.col("best.place").alias("place"), "klass")
     sketches = ws.save(signed.join(nodes, ["place", "klass"], "left_semi").select(F.col("place").alias("node"), "id", "klass", "n_shingles", "bands", "odd"), "sketches")
 
-    keyed = sketches.select("node", F.explode("bands").alias("key"))
+    keyed = sketches.select("node", "bands", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = ws.save(keyed.join(shared, "key"), "members")
-    weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    centres = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top"), F.min("node").alias("low"))
-    stars = members.join(centres, "key").select(F.col("node").alias("a"), F.explode(F.array((-F.col("top.minus")), F.col("low"))).alias("b")).filter("a <> b")
+    # the bands after a row's own: members of a bucket that agree in these too stand next to each other
+    after = F.slice(F.concat("bands", "bands"), F.col("band") + 2, 3)
+    buckets = ws.save(keyed.join(shared, "key").select("key", "node", "n", after.alias("after")), "buckets")
+    # a common origin of near copies shares more buckets, and larger ones, than its copies do among themselves
+    weight = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
+    members = ws.save(buckets.drop("n").join(weight.join(sketches.select("node", "n_shingles", "odd"), "node"), "node"), "members")
+    ws.drop("buckets")
     # 0.2 below the limit: five standard deviations of the sketches' estimate there
     floor = percent / 100 - 5 * math.sqrt(percent / 100 * (1 - percent / 100) / SAMPLES)
 
-    def promising(pairs: DataFrame) -> DataFrame:
-        side = lambda c: sketches.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}"))
-        sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        return sized.filter(odd_similarity(F.col("odd_a"), F.col("odd_b")) >= floor).select("a", "b")
-
-    tried = ws.save(promising(stars.distinct()), "tried")
-    in_bucket = members.select("node").distinct()
-    wanted = sketches.join(in_bucket, "node", "left_semi").select("node", "id", "klass")
+    comps = ws.save(members.select("node").distinct().withColumn("comp", F.col("node")), "comps-0")
+    wanted = sketches.join(comps, "node", "left_semi").select("node", "id", "klass")
     texts = ws.save(_texts(source, wanted, words_per_shingle), "texts")
-    links = ws.save(_verified(tried, texts, percent, words_per_shingle), "links")
-    comps = connected_components(links, ws, "first")
-
-    placed = members.select("node", "key").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    tried = spark.createDataFrame([], "a bigint, b bigint")
+    for k in range(1, OFFER_ROUNDS + 1):
+        asked = ws.save(_offers(members.join(comps, "node"), tried, percent, floor), f"asked-{k}")
+        found = ws.save(_verified(asked, texts, percent, words_per_shingle), f"found-{k}")
+        if not found.limit(1).count():
+            break
+        comps, tried = _merged(comps, found, ws, k), tried.unionByName(asked)
+
+    placed = members.join(comps, "node")
     sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     split = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("major"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("key", F.col("major.comp").alias("major"))
-    open_rows = ws.save(placed.join(split, "key").join(sketches.select("node", "n_shingles", "odd"), "node"), "open")
-    left, right = open_rows.filter("comp <> major").alias("l"), open_rows.alias("r")
+    open_rows = ws.save(placed.join(split, "key").select("key", "node", "comp", "major", "weight", "n_shingles", "odd"), "open")
+    # two bounds on what a pair shares: shingles that no other open text has are out of question, and of the rest no
+    # more than either has in common with the heaviest member of its buckets, or beyond it
+    tops = open_rows.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top"))
+    pivots = ws.save(open_rows.join(tops, "key").groupBy("node").agg(F.max("top")["node"].alias("pivot")), "pivots")
+    inside = _intersections(pivots.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")), texts, words_per_shingle)
+    inside = inside.select(F.col("a").alias("node"), F.col("both").alias("inside"))
+    lonely = _unshared(texts.join(pivots, "node", "left_semi"), words_per_shingle)
+    rows = open_rows.drop("weight").join(pivots, "node").join(inside, "node", "left").join(lonely, "node", "left")
+    rows = rows.withColumn("common", F.col("n_shingles") - F.coalesce("unshared", F.lit(0))).withColumn("inside", F.coalesce("inside", "n_shingles"))
+    rows = rows.filter(F.col("common") * 100 >= F.col("n_shingles") * percent).withColumn("beyond", F.greatest(F.col("common") - F.col("inside"), F.lit(0))).drop("unshared")
+    rows = ws.save(rows.join(sketches.select("node", "bands"), "node"), "linkable")
+    left, right = rows.filter("comp <> major").alias("l"), rows.alias("r")
     apart = (F.col("l.comp") != F.col("r.comp")) & ((F.col("r.comp") == F.col("r.major")) | (F.col("l.node") < F.col("r.node")))
-    near = (F.least("l.n_shingles", "r.n_shingles") * 100 >= F.greatest("l.n_shingles", "r.n_shingles") * percent) & (odd_similarity(F.col("l.odd"), F.col("r.odd")) >= floor)
-    across = left.join(right, (F.col("l.key") == F.col("r.key")) & apart & near).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    by_pivot = F.least("l.inside", "r.inside") + F.least("l.beyond", "r.beyond")
+    most = F.when(F.col("l.pivot") == F.col("r.pivot"), F.least(by_pivot, "l.common", "r.common")).otherwise(F.least("l.common", "r.common"))
+    near = (most * 100 >= (F.col("l.n_shingles") + F.col("r.n_shingles") - most) * percent) & (odd_similarity(F.col("l.odd"), F.col("r.odd")) >= floor)
+    # a pair is taken in the first of the buckets that it shares
+    here = F.array_position(F.zip_with("l.bands", "r.bands", lambda x, y: x == y), True) == F.array_position("l.bands", F.col("l.key"))
+    across = left.join(right, (F.col("l.key") == F.col("r.key")) & apart & near & here).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
     known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = ws.save(_verified(across.join(known, ["a", "b"], "left_anti"), texts, percent, words_per_shingle), "rest")
     if rest.limit(1).count():
-        comps = connected_components(links.unionByName(rest), ws, "second")
-    ws.drop("texts", "tried", "open", "members")
+        comps = _merged(comps, rest, ws, 0)
+    ws.drop("texts", "open", "linkable", "members")
 
     grouped = classes.withColumn("node", F.col("best.place")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     tops = grouped.groupBy("comp").agg(F.min("best").alias("top"))
@@ -230,6 +252,47 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def _offers(placed: DataFrame, tried: DataFrame, percent: int, floor: float) -> DataFrame:
+    """(a, b): for each component the most promising pair of one of its members with one of another component in the
+    same bucket, not tried before. placed: key, node, after, weight, n_shingles, odd, comp."""
+    own = ("node", "comp", "n_shingles", "odd")
+    parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", *own)).alias("top"))
+    centres = parts.groupBy("key").agg(F.max(F.struct("n", "top")).alias("c"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    rows = placed.join(centres.select("key", F.struct(*(F.col(f"c.top.{x}").alias(x) for x in own)).alias("centre")), "key")
+    before = F.lag(F.struct(*own)).over(Window.partitionBy("key").orderBy("after", "node"))
+    sides = rows.withColumn("before", before).select(F.struct(*own).alias("x"), F.explode(F.array("before", "centre")).alias("y")).filter("y is not null and x.comp <> y.comp")
+    similar = sides.withColumn("s", odd_similarity(F.col("x.odd"), F.col("y.odd"))).filter((F.col("s") >= floor) & (F.least("x.n_shingles", "y.n_shingles") * 100 >= F.greatest("x.n_shingles", "y.n_shingles") * percent))
+    pair = F.struct(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    fresh = similar.select("s", F.col("x.comp").alias("p"), F.col("y.comp").alias("q"), pair.alias("pair")).select("s", "p", "q", "pair.a", "pair.b").distinct().join(tried, ["a", "b"], "left_anti")
+    both = fresh.select(F.explode(F.array("p", "q")).alias("comp"), F.struct("s", "a", "b").alias("o"))
+    return both.groupBy("comp").agg(F.max("o").alias("o")).select("o.a", "o.b").distinct()
+
+
+def _merged(comps: DataFrame, links: DataFrame, ws: Workspace, k: int) -> DataFrame:
+    """comps (node, comp) after links (a, b) between their nodes; only the components that links touch are searched."""
+    of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+    edges = links.join(of("a"), "a").join(of("b"), "b").filter("comp_a <> comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+    grown = connected_components(edges, ws, f"merge-{k}").select(F.col("node").alias("comp"), F.col("comp").alias("into"))
+    return ws.save(comps.join(grown, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")), f"comps-{k}" if k else "comps-last")
+
+
+def _unshared(texts: DataFrame, words_per_shingle: int) -> DataFrame:
+    """(node, unshared): how many of a node's shingles no other of these nodes has."""
+
+    def spread(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = shingle_set(text.as_buffer().to_pybytes(), words_per_shingle).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node, np.int64)), pa.array(s)], names=["node", "shingle"])
+
+    rows = texts.select("node", "text").mapInArrow(spread, "node bigint, shingle bigint")
+    once = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last")
+    return once.groupBy("node").agg(F.count(F.lit(1)).alias("unshared"))
+
+
 def _texts(source: DataFrame, wanted: DataFrame, words_per_shingle: int) -> DataFrame:
     """(node, text) of the wanted nodes. Where ids repeat, the row whose set is the node's class is taken."""
 

@@ -90,6 +90,25 @@ def test_copies_linked_only_through_their_origin(documents):
     assert near_rows(near_dedup(documents(rows))) == expected
 
 
+@pytest.mark.parametrize("rounds", [0, 4])
+def test_loose_copies_equal_all_pairs(documents, monkeypatch, rounds):
+    """Groups of copies with none to six edits, also without any rounds of offers: the bounds lose no link."""
+    monkeypatch.setattr(odd_sketch, "OFFER_ROUNDS", rounds)
+    random = np.random.Generator(np.random.PCG64(rounds))
+    rows = []
+    for g in range(4):
+        origin = [f"g{g}w{i}" for i in range(int(random.integers(60, 150)))]
+        edited = list(origin)
+        for k in range(40):
+            w = list(origin if k % 3 else edited)
+            for _ in range(random.integers(0, 7)):
+                w[random.integers(0, len(w))] = f"e{random.integers(0, 30)}"
+            edited = w
+            rows.append((len(rows), " ".join(w)))
+    expected = sorted(((i, c, n, i == c) for (i, _), (c, n) in zip(rows, brute_components(rows), strict=True)), key=repr)
+    assert near_rows(near_dedup(documents(rows))) == expected
+
+
 def test_threshold_is_inclusive(documents):
     """17 of 20 shingles: exactly 85 percent."""
     a = [f"a{i}" for i in range(22)]  # 18 shingles
