@@ -80,7 +80,7 @@ def _snap(x: float, eps: float = 1e-9) -> float:
     return 0.0 if x < eps else 1.0 if x > 1 - eps else x
 
 
-def pivotal_mix(docs: DataFrame, weights=cyclic_weights, max_ratio: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", group_rows: int = 20_000, fan_in: int = 256, seed: int = 11) -> DataFrame:
+def pivotal_mix(docs: DataFrame, weights=cyclic_weights, max_ratio: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", group_rows: int = 2_000, fan_in: int = 256, seed: int = 11) -> DataFrame:
     """One row per input row: id, source, size, source_size, target, copies, extra_words, taken.
 
     A document of a source with target T and size S has T/S copies: the whole part is certain, the rest is a
