@@ -101,7 +101,7 @@ def test_genitive_and_terms_decline():
     assert grammar_facts("") == [] and grammar_facts(None) == []
 
 
-def test_ipa_keeps_the_reference_readings():
+def test_ipa_keeps_its_literal_readings():
     assert phonetics.display_ipa("ਸਤਿ") == "sət̪ɪ"
     assert phonetics.display_ipa("ਆਸ") == "aːəs"  # a whole vowel also gets a schwa
     assert phonetics.display_ipa(None) is None
