@@ -28,7 +28,7 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(shifted)) for b in range(256)]
 
 
-def _encoder(path: str, limit: int = 300_000):
+def _encoder(path: str, limit: int = 350_000):
     """bytes -> little-endian 32-bit ids, through a cache by word: two generations of at most `limit` words each, the
     older of which is dropped when the younger is full.
 
@@ -136,7 +136,7 @@ def write_tokens(encoded: DataFrame, path: str, row_group_bytes: int = 32 << 20,
     indexes let a reader skip to the pages of an id range, and read the metadata columns without the ids.
     """
     encoded.write.options(
-        **{"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "false", "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": 4096, "parquet.columnindex.truncate.length": 16}
+        **{"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.writer.version": "v2", "parquet.enable.dictionary": "false", "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": 4096, "parquet.columnindex.truncate.length": 16}
     ).parquet(path)
 
 
