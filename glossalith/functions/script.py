@@ -55,12 +55,10 @@ LATIN = Script(letters=r"A-Za-z\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{00F
 
 
 def tokenize(text: Column, script: Script = GURMUKHI) -> Column:
-    """Tokens of a text: cut at white space, edge marks stripped, those without a letter of the script left out.
-
-    Edge marks go in one pass over the text, then one split; null gives null.
-    """
-    bare = F.regexp_replace(text, rf"(?<![^{SPACE}])[{script.edges}]+|[{script.edges}]+(?![^{SPACE}])", "")
-    return F.filter(F.split(bare, rf"[{SPACE}]+"), lambda t: t.rlike(rf"[{script.letters}]"))
+    """Tokens of a text: runs of anything but white space, edge marks stripped, those without a letter of the script left
+    out. One pass finds each run from its first to its last character that is no edge mark; null gives null."""
+    core = f"[^{SPACE}{script.edges}]"
+    return F.filter(F.regexp_extract_all(text, F.lit(f"{core}(?:[^{SPACE}]*{core})?"), F.lit(0)), lambda t: t.rlike(rf"[{script.letters}]"))
 
 
 def nfd(text: Column) -> Column:

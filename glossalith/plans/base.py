@@ -77,4 +77,5 @@ VOCABULARY_SQL = f"""{CORPUS_SQL.strip()},
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """gurmukhi, frequency."""
     words = corpus_words(spark, sf_dir).filter(F.col("word").rlike("^[A-Za-z]+$"))
-    return words.groupBy(F.translate(F.lower("word"), LETTERS, SIGNS).alias("gurmukhi")).agg(F.count(F.lit(1)).cast("int").alias("frequency"))
+    counted = words.groupBy(F.lower("word").alias("w")).agg(F.count(F.lit(1)).cast("int").alias("frequency"))
+    return counted.select(F.translate("w", LETTERS, SIGNS).alias("gurmukhi"), "frequency")  # one to one, so once a word is enough

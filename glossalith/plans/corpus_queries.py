@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.script import LATIN, tokenize
 from ..operators import corpus, ngrams
+from ..sources.workspace import Workspace
 from .base import CORPUS_SQL, corpus_lines, corpus_words, query, table
 
 
@@ -28,7 +29,7 @@ def _bench_words(spark, sf_dir):
 
 @query(f"WITH {_bench_sql()}, words AS (SELECT word FROM bench UNION SELECT word FROM occ), n AS (SELECT word, CAST(count(*) AS INTEGER) AS n FROM occ GROUP BY 1) SELECT word, coalesce(n, 0) AS frequency FROM words LEFT JOIN n USING (word)")
 def word_frequency(spark, sf_dir):
-    occ = corpus_words(spark, sf_dir).select("word")
+    occ = Workspace(spark, "occurrences").save(corpus_words(spark, sf_dir).select("word"), "words")  # used twice
     words = _bench_words(spark, sf_dir).unionByName(occ).distinct()
     return corpus.word_frequency(words, occ)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.script import DECOMPOSED, GURMUKHI, final_vowel, fold_key, stem
 from ..operators import morph, search
+from ..sources.workspace import Workspace
 from .base import VOCABULARY_SQL, query, vocabulary
 
 G = GURMUKHI
@@ -75,7 +76,7 @@ _POS = "CASE length(gurmukhi) % 5 WHEN 0 THEN 'noun' WHEN 1 THEN 'verb' WHEN 2 T
     FROM o JOIN g USING (stem) WHERE own IS NULL AND members > 1 AND pos IS NOT NULL"""
 )
 def pos_inheritance(spark, sf_dir):
-    words = vocabulary(spark, sf_dir)
+    words = Workspace(spark, "vocabulary").save(vocabulary(spark, sf_dir), "words")  # used more than once
     kind = F.length("gurmukhi") % 5
     direct = words.select("gurmukhi", F.when(kind == 0, "noun").when(kind == 1, "verb").when(kind == 2, "particle").alias("pos"), F.lit(1).alias("sense_number")).filter("pos is not null")
     members = words.select("gurmukhi", (-F.col("frequency")).alias("rank"))
