@@ -56,9 +56,16 @@ CORPUS_SQL = f"""
 """
 
 
+def spread(df: DataFrame, limit: int = 256 << 20) -> DataFrame:
+    """A small input (below limit bytes, which may be one row group and so one task) dealt over all cores; a large one as
+    it is, since its files make enough tasks and its texts had better not be shuffled."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < limit else df
+
+
 def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, line_no, line, tokens."""
-    return line_tokens(lines_of(table(spark, sf_dir, "documents"), keys=("doc_id", "source", "lang")), LATIN)
+    return line_tokens(lines_of(spread(table(spark, sf_dir, "documents")), keys=("doc_id", "source", "lang")), LATIN)
 
 
 def corpus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
