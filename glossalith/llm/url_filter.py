@@ -41,13 +41,15 @@ def host_links(pages: DataFrame, html_col: str = "html", host_col: str = "host")
     return found.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).filter("src <> dst and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, ws: Workspace, damping: float = 0.85, tolerance: float = 1e-6, max_rounds: int = 50) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, ws: Workspace, damping: float = 0.85, tolerance: float = 1e-6, max_rounds: int = 1000) -> DataFrame:
     """seeds (host, trust, distrust: weights) -> (host, trust, distrust): personalised PageRank from the trusted seeds
     along links, and from the blocked seeds against them.
 
     Both walks go in one table keyed by kind and host, so a round is one join and one aggregation. Mass at hosts
-    without a way out returns to the seeds. Every round is written to the shared folder; rounds stop when the moved
-    mass is below tolerance. A hub's links are rows of a skewed join key, which adaptive execution splits.
+    without a way out returns to the seeds. Every round is written to the shared folder; rounds stop when no host's score
+    moved by more than tolerance times itself, which a host that is first reached does, so the size of the graph and
+    the way to the seeds don't matter. An error is raised when that takes over max_rounds. Scores keep ten significant
+    digits. A hub's links are rows of a skewed join key, which adaptive execution splits.
     """
     both = links.select(F.lit("t").alias("kind"), F.col("src"), F.col("dst"), "n").unionByName(links.select(F.lit("d").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("all"))
@@ -68,9 +70,11 @@ def propagate(links: DataFrame, seeds: DataFrame, ws: Workspace, damping: float
             step = rank.join(flow, ["kind", "host"], "left").join(F.broadcast(lost), "kind")
             rank = ws.save(step.select("kind", "host", "seed", "open", new.alias("score"), F.abs(new - F.col("score")).alias("moved")), f"rank{k}")
             ws.drop(f"rank{k - 1}")
-            if (rank.agg(F.sum("moved")).first()[0] or 0.0) < tolerance:
+            if (rank.filter("score > 0").agg(F.max(F.col("moved") / F.col("score"))).first()[0] or 0.0) < tolerance:
                 break
-    by_kind = lambda kind: F.round(F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0)), 9)
+        else:
+            raise RuntimeError(f"trust and distrust still move by more than {tolerance} of a host's score after {max_rounds} rounds")
+    by_kind = lambda kind: F.format_string("%.9e", F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))).cast("double")
     return rank.groupBy("host").agg(by_kind("t").alias("trust"), by_kind("d").alias("distrust"))
 
 
@@ -91,5 +95,6 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
     seeds = placed.filter("host <> ''").groupBy("host").agg(count_if("allow").alias("trust"), count_if("block").alias("distrust"))
     scores = propagate(links, seeds, ws, damping)
     judged = placed.drop("html").join(scores, "host", "left")
-    bad = F.coalesce(F.col("distrust") > block_share * (F.col("trust") + F.col("distrust")), F.lit(False))
+    both = F.nullif(F.col("trust") + F.col("distrust"), F.lit(0.0))
+    bad = F.coalesce(F.round(F.col("distrust") / both, 9) > block_share, F.lit(False))  # of masses however small
     return judged.select(F.col("id").alias(id_col), "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

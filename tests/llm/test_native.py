@@ -76,6 +76,26 @@ def test_distrust_reaches_hosts_that_link_to_blocked_ones(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
 
 
+def test_verdicts_dont_depend_on_the_size_of_the_masses(spark):
+    """Three fan-ins of 1,000 hosts: the last ones have less than 1e-9 of all distrust, and no trust."""
+    link = lambda host: f'<a href="http://{host}/">x</a>'
+    pages = [(0, "http://bad.org/es/1", ""), (1, "http://good.net/de/1", link("fine.io"))]
+    for level in (1, 2, 3):
+        to = "bad.org" if level == 1 else f"h{level - 1}-0.io"
+        pages += [(1000 * level + i, f"http://h{level}-{i}.io/", link(to)) for i in range(1000)]
+    got = judge_urls(spark.createDataFrame(pages, "page_id bigint, url string, html string"), URL_RULES, damping=0.3).collect()
+    assert {r.verdict for r in got if r.page_id >= 1000} == {"block"} and all(r.distrust > 0 for r in got if r.page_id >= 1000)
+
+
+def test_rounds_go_on_until_the_farthest_host_is_reached(spark):
+    pages = [(0, "http://bad.org/es/1", "")] + [(k, f"http://c{k}.io/", f'<a href="http://{f"c{k - 1}.io" if k > 1 else "bad.org"}/">x</a>') for k in range(1, 13)]
+    table = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    assert {r.verdict for r in judge_urls(table, URL_RULES, damping=0.1).collect()} == {"block"}
+    links, seeds = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n bigint"), spark.createDataFrame([("a", 1.0, 0.0)], "host string, trust double, distrust double")
+    with pytest.raises(RuntimeError):
+        propagate(links, seeds, Workspace(spark, "test"), max_rounds=2)
+
+
 def test_calls_equal_their_sql(spark, sf_dir):
     same(op8_tool_calls(spark, sf_dir).toPandas(), connect(sf_dir).sql(ORACLES["op8_tool_calls"]).df())
 
