@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 MARKS = r"A-Za-z0-9_+/=@:.\-"
-#: A run of at least 12 such characters that holds a digit.
-CANDIDATE = rf"(?<![{MARKS}])(?=[{MARKS}]*[0-9])[{MARKS}]{{12,}}"
 # Words that announce a secret, and the formats by which known findings are labelled.
 ANNOUNCE = r"(?i)(key|token|secret|passw(or)?d|pwd|auth|credential|bearer)"
+_ANNOUNCED, _QUOTE = r"(?i:key|token|secret|passw(?:or)?d|pwd|auth|credential|bearer)[\w\-]{0,24}", r"\\?[\"'`]?"
+#: What makes a run without a digit, or of 8 to 11 characters, a candidate: a known format in it; an announcing word with
+#: = or : in it; such a word before it, up to 24 further letters of its name and 12 blanks on each side of the mark away.
+_KNOWN = rf"(?=[{MARKS}]{{19}})(?=[{MARKS}]*?(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{{16}}|(?:gh[pousr]_|xox[abp]-|sk-)[A-Za-z0-9\-]{{16}}))"
+_WITHIN = rf"(?=[{MARKS}]*?[=:][{MARKS}]{{8}})(?=[{MARKS}]*?{_ANNOUNCED}[=:]{{1,2}}[{MARKS}]{{8}})"
+_BEFORE = rf"(?<=[=:>][\s\\\"'`]{{0,14}})(?<={_ANNOUNCED}{_QUOTE}\s{{0,12}}[=:]{{1,2}}>?\s{{0,12}}{_QUOTE})"
+#: A run of at least 12 such characters that holds a digit, or of at least 8 that is known or announced.
+CANDIDATE = rf"(?<![{MARKS}])(?=[{MARKS}]{{8}})(?:(?=[{MARKS}]*[0-9])[{MARKS}]{{12,}}|(?:{_KNOWN}|{_BEFORE}|{_WITHIN})[{MARKS}]{{8,}})"
 KNOWN_SECRET = [r"^AKIA[0-9A-Z]{16}[.,:]?$", r"^(gh[pousr]_|xox[abp]-|sk-)[A-Za-z0-9\-]{16,}"]
 KEYED_SECRET = r"(?i)^(password|passwd|pwd|secret|token|api_?key)\s*[=:]\S{8,}"
+KEYED_BEFORE = r"(?i)(password|passwd|pwd|secret|token|api_?key)\\?[\"'`]?\s*(=\s*\\?[\"'`]?|:\s*\\?[\"'`])$"
 QUOTED_VALUE = r"^[0-9a-zA-Z+/=_\-]{16,}$"
 FEATURES = ["length", "digits", "uppers", "hexes", "turns", "distinct", "vowel_turns", "coverage", "slashes", "dots", "at", "announced", "assigned", "quoted", "self_announced", "neighbour_digits"]
 
@@ -72,7 +79,7 @@ def format_label() -> Column:
     known = F.lit(False)
     for pattern in KNOWN_SECRET:
         known = known | token.rlike(pattern)
-    return (known | token.rlike(KEYED_SECRET) | (token.rlike(QUOTED_VALUE) & (F.col("announced") == 1) & (F.col("assigned") == 1))).cast("double")
+    return (known | token.rlike(KEYED_SECRET) | F.col("before").rlike(KEYED_BEFORE) | (token.rlike(QUOTED_VALUE) & (F.col("announced") == 1) & (F.col("assigned") == 1))).cast("double")
 
 
 def scan_secrets(docs: DataFrame, label: Column | None = None, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000, trees: int = 20, depth: int = 6, threshold: float = 0.5, min_documents: int = 3, seed: int = 3) -> DataFrame:

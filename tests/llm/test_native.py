@@ -149,6 +149,19 @@ def test_candidates_keep_their_places(documents):
     assert scan_secrets(documents(texts)).count() == 6 and scan_secrets(documents(texts).limit(0)).count() == 0
 
 
+def test_secrets_without_digits_or_of_eight_characters_are_candidates(documents):
+    letters = "ghp_" + "abcdefghij" * 3
+    texts = ['password = "CorrectHorseBattery" end', f"see {letters} there", 'password = "p4ssw0rd"', "{'db_password': 'hunter-two'}", "pwd=CorrectHorse", "export API_KEY=abcdefgh", "sk-" + "ab" * 10, "an ordinary sentence: understanding http://example.com/understanding", "password = short"]
+    found = {(r.id, r.token) for r in candidates(documents(list(enumerate(texts)))).collect()}
+    assert found == {(0, "CorrectHorseBattery"), (1, letters), (2, "p4ssw0rd"), (3, "hunter-two"), (4, "pwd=CorrectHorse"), (5, "API_KEY=abcdefgh"), (6, "sk-" + "ab" * 10)}
+
+
+def test_announced_words_are_found_among_others(documents):
+    rows = [(i, f'password = "Correct{"abcdefghij"[i % 10]}Horse" and path/to/file{i:06}name.txt') for i in range(60)]
+    got = scan_secrets(documents(rows)).collect()
+    assert len(got) == 120 and all(r.is_secret == (r.start == 12) for r in got)
+
+
 def test_forest_tells_keys_from_other_long_tokens(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     truth = {(r.id, r.start): bool(re.match(r"AKIA[0-9A-Z]{16}|password=", r.token)) for r in candidates(docs).collect()}
