@@ -24,7 +24,7 @@ LEET = {
 EDGES = ".,;:!?\"'()[]{}<>|*#%&_-~^`=/\\«»„“”…"
 SYMBOLS = 28
 _CODES = bytes((b - 96 if 97 <= b <= 122 else 0 if b == 32 else 27) for b in range(256))
-#: Longer tokens (keys, hashes, addresses) aren't obfuscated words.
+#: Longer tokens are read in pieces.
 LONGEST = 40
 COST = {"leet": 0.4, "drop": 0.8, "literal": 4.0, "repeat": 0.8, "gap": 1.5}
 
@@ -127,6 +127,46 @@ _PLAIN = re.compile(r"([^\W\d_])\1\1")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+_MARKS = re.compile(r"[\W_]+")
+#: Marks that stand for no letter.
+_SEPARATORS = re.compile(rf"(?:[^\w{re.escape(''.join(c for c in LEET if not c.isdigit()))}]|_)+")
+_REPEATED = re.compile(r"(.)\1{3,}", re.DOTALL)
+_LETTERS = re.compile(r"[^\W\d_]{3,}")
+
+
+def _windows(parts: list[str]) -> list[str]:
+    """Neighbouring parts with blanks between, as long as LONGEST allows; windows overlap by half."""
+    out, i = [], 0
+    while i < len(parts):
+        j, n = i, -1
+        while j < len(parts) and n + 1 + len(parts[j]) <= LONGEST:
+            n, j = n + 1 + len(parts[j]), j + 1
+        if j - i > 1:
+            out.append(" ".join(parts[i:j]))
+        if j == len(parts):
+            break
+        i = max(i + 1, (i + j) // 2)
+    return out
+
+
+def pieces(token: str) -> list[str]:
+    """What a token of over LONGEST characters is read as. Repetitions are shortened as far as the lattice tells them
+    apart; what is still too long is split at marks, and the parts are also joined in windows, as marks may pad a
+    word. Parts that are too long without such marks are cut into windows and runs of letters; of those in which letters
+    and digits alternate without three letters in a row (keys, hashes) nothing is read."""
+    token = _REPEATED.sub(lambda m: m[1] * (4 if m[1].isalpha() else 3), token)
+    if len(token) <= LONGEST or (token.isalpha() and not _PLAIN.search(token)):
+        return [token]
+    parts = [p for p in _SEPARATORS.split(token) if p]
+    if parts != [token]:
+        return list(dict.fromkeys([*(q for p in parts for q in pieces(p)), *_windows(parts)]))
+    if token.isalnum() and not _LETTERS.search(token):
+        return []
+    cut = [token[i : i + LONGEST] for i in range(0, max(1, len(token) - LONGEST // 2), LONGEST // 2)]
+    words = [] if token.isalpha() else [p for p in _LETTERS.findall(token) if len(p) <= LONGEST or not _PLAIN.search(p)]
+    return list(dict.fromkeys([*words, *cut, *_windows([p for p in _MARKS.split(token) if p])]))
+
+
 def restored_words(token: str, model) -> tuple[str, ...]:
     """The words that a token of lower-case text stands for: itself without edge marks when it looks like a word."""
     core = token.strip(EDGES)
@@ -139,8 +179,10 @@ def restored_words(token: str, model) -> tuple[str, ...]:
         if core.isalpha() and not _PLAIN.search(core):
             return (core,)
     inner = token.rstrip(EDGES).lstrip(".,;:?\"'[]{}<>#%&_-~^`=/\\")
-    if not _LETTER.search(inner) or len(inner) > LONGEST:
+    if not _LETTER.search(inner):
         return ()
+    if len(inner) > LONGEST:
+        return tuple(dict.fromkeys(w for p in pieces(inner) for w in restored_words(p, model)))
     # a mark on its own before the word is punctuation as often as a letter: both readings are kept
     out = dict.fromkeys(restore(inner, model).split())
     if core.isalpha():

@@ -36,6 +36,22 @@ def test_tokens_without_letters_or_too_long_say_nothing(model):
     assert toxicity.restored_words("12345", model) == toxicity.restored_words("a1" * 60, model) == toxicity.restored_words("!!", model) == ()
 
 
+@pytest.mark.parametrize(
+    "written",
+    ["idi" + "o" * 40 + "t", "i" + "." * 50 + "d.i.o.t", ".".join("idiot") + "." + "_".join(["the", "people", "read", "this", "book"] * 3), "_".join(["the", "people", "id1ot", "read"] * 5), "the*people*are*an*idiot*read*this*book*about", "clown1234people5678idiot1234stupid5678moron", "a" * 20 + "-" + "people-" * 300 + "idi" + "o" * 99 + "t"],
+)
+def test_long_tokens_are_read_in_pieces(model, written):
+    assert "idiot" in toxicity.restored_words(written, model)
+    assert all(len(p) <= toxicity.LONGEST for p in toxicity.pieces(written))
+
+
+def test_marks_in_place_of_blanks_leave_the_evidence(model):
+    scorer = toxicity.Scorer(model, {"=idiot": (50, 0), "=moron": (40, 0)}, slope=2.0)
+    text = "the people read this book about an idiot and a moron in this book"
+    weigh = lambda t: scorer.evidence(scorer.tokens(t), toxicity.WordCache(scorer.token_weight))
+    assert weigh(text.replace(" ", "_")) == scorer.weight("=idiot") > 0  # one token: its strongest word counts
+
+
 def test_lattice_best_path_beats_every_other(model):
     """Viterbi against all readings of a short lattice."""
     import itertools
