@@ -114,18 +114,21 @@ _NORMAL = "list_filter(list_transform({words}, lambda x: trim(x, '.,;:!?\"''()[]
 
 ORACLES: dict[str, str] = {
     "op7_decontamination": f"""
-        WITH parted AS (SELECT item_id, text, string_split(regexp_replace(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), '([.!?])[\\x20\\x09-\\x0D]+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM benchmark),
+        WITH parted AS (SELECT item_id, text, string_split(regexp_replace(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '([.!?])[\\x20\\x09-\\x0D]+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM benchmark WHERE text IS NOT NULL),
         parts AS (SELECT item_id, 'whole' AS part, text FROM parted UNION ALL SELECT item_id, 'question', CASE WHEN len(s) > 1 THEN array_to_string(s[1:len(s) - 1], ' ') ELSE text END FROM parted
                   UNION ALL SELECT item_id, 'answer', CASE WHEN len(s) > 1 THEN s[len(s)] ELSE text END FROM parted),
-        item AS (SELECT item_id, part, unnest({_SHINGLES}) AS g FROM (SELECT item_id, part, {_NORMAL} AS w FROM parts)),
-        size AS (SELECT item_id, part, count(*) AS n FROM item GROUP BY 1, 2),
-        doc AS (SELECT doc_id, unnest({_SHINGLES}) AS g FROM (SELECT doc_id, {_NORMAL} AS w FROM documents)),
-        hits AS (SELECT doc_id, item_id, part, count(*) AS k FROM doc JOIN item USING (g) GROUP BY 1, 2, 3)
-        SELECT w.doc_id, w.item_id, sw.n AS item_shingles, w.k AS shared_shingles
-        FROM hits w JOIN size sw ON w.item_id = sw.item_id AND sw.part = 'whole'
-        JOIN hits q ON q.doc_id = w.doc_id AND q.item_id = w.item_id AND q.part = 'question' JOIN size sq ON sq.item_id = w.item_id AND sq.part = 'question'
-        JOIN hits a ON a.doc_id = w.doc_id AND a.item_id = w.item_id AND a.part = 'answer' JOIN size sa ON sa.item_id = w.item_id AND sa.part = 'answer'
-        WHERE w.part = 'whole' AND w.k >= 0.8 * sw.n AND q.k >= 0.5 * sq.n AND a.k >= 0.5 * sa.n
+        spelt AS (SELECT item_id, part, {_NORMAL} AS w FROM parts),
+        doc AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS line FROM (SELECT doc_id, {_NORMAL} AS w FROM documents WHERE text IS NOT NULL)),
+        long AS (SELECT item_id, part, unnest({_SHINGLES}) AS g FROM spelt WHERE len(w) >= 5),
+        size AS (SELECT item_id, part, count(*) AS n FROM long GROUP BY 1, 2),
+        doc_gram AS (SELECT doc_id, unnest({_SHINGLES}) AS g FROM doc WHERE len(w) >= 5),
+        hits AS (SELECT doc_id, item_id, part, count(*) AS k FROM doc_gram JOIN long USING (g) GROUP BY 1, 2, 3),
+        short AS (SELECT item_id, part, ' ' || array_to_string(w, ' ') || ' ' AS line FROM spelt WHERE len(w) BETWEEN 1 AND 4),
+        held AS (SELECT doc_id, item_id, n AS item_shingles, k AS shared_shingles FROM hits JOIN size USING (item_id, part) WHERE part = 'whole' AND k >= 0.8 * n
+                 UNION ALL SELECT doc_id, item_id, 1, 1 FROM short JOIN doc ON contains(doc.line, short.line) WHERE part = 'whole'),
+        broken AS (SELECT h.doc_id, h.item_id FROM held h JOIN size z ON z.item_id = h.item_id AND z.part <> 'whole' LEFT JOIN hits x ON x.doc_id = h.doc_id AND x.item_id = h.item_id AND x.part = z.part WHERE coalesce(x.k, 0) < 0.5 * z.n
+                   UNION ALL SELECT h.doc_id, h.item_id FROM held h JOIN short s ON s.item_id = h.item_id AND s.part <> 'whole' JOIN doc ON doc.doc_id = h.doc_id WHERE NOT contains(doc.line, s.line))
+        SELECT doc_id, item_id, item_shingles, shared_shingles FROM held ANTI JOIN broken USING (doc_id, item_id)
     """,
     "op10_near_dedup": f"""
         WITH RECURSIVE sets AS (SELECT doc_id, {_SHINGLES} AS g FROM (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents)),

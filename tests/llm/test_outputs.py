@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -5,11 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossalith.llm.common import Workspace
-from glossalith.llm.decontaminate import Index, contaminated_pairs, decontaminate, normal_words, question_and_answer, _promising, _shingles
+from glossalith.llm import decontaminate as dec
+from glossalith.llm.decontaminate import Index, contaminated_pairs, decontaminate
 from glossalith.llm.mixing import capped_targets, cyclic_weights, mixed_rows, pivotal_mix
-from glossalith.llm.queries import END_ID, op3_token_output, op6_mixing, op7_decontamination, tokenizer_path
+from glossalith.llm.queries import END_ID, ORACLES, op3_token_output, op6_mixing, op7_decontamination, tokenizer_path
 from glossalith.llm.token_output import encode_documents, ids_crc32, read_tokens, token_metadata, write_tokens
 
+from ..compare import connect, same
+
 
 def expected_tokens(rows):
     from tokenizers import Tokenizer
@@ -104,42 +108,107 @@ def test_mix_query_contract(spark, sf_dir):
     assert dict(got.dtypes)["taken"] == "bigint" and got.columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
 
 
-def brute_pairs(docs, items, overlap=0.8, part=0.5):
-    have = [(i, set(_shingles(normal_words((t or "").encode())))) for i, t in docs]
-    out = set()
+def plain_words(text):
+    """Words of the task's pattern, A-Z lowered, marks at their edges cut: written apart from the operator."""
+    words = re.findall(r"[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return [x for w in words if (x := re.sub(r"^[.,;:!?\"'()\[\]{}<>|*#$%&_-]+|[.,;:!?\"'()\[\]{}<>|*#$%&_-]+$", "", w))]
+
+
+def share(part, text):
+    """Share of a part's distinct runs of five words (of all its words, if fewer) that stand in the text."""
+    k = min(5, len(part))
+    runs = {" ".join(part[i : i + k]) for i in range(len(part) - k + 1)} if k else set()
+    line = f" {' '.join(text)} "
+    return sum(f" {r} " in line for r in runs) / len(runs) if runs else 1.0
+
+
+def brute_pairs(docs, items):
+    have = [(i, plain_words(t)) for i, t in docs]
+    out = []
     for k, t in items:
-        if not normal_words((t or "").encode()):
-            continue
-        whole, *parts = (set(_shingles(normal_words(p.encode()))) for p in (t, *question_and_answer(t)))
-        out |= {(i, k) for i, s in have if len(whole & s) >= overlap * len(whole) and all(len(p & s) >= part * len(p) for p in parts)}
-    return out
+        ends = [m.end() for m in re.finditer(r"[.!?][\x20\x09-\x0d]+(?=.)", (t or "").strip(), re.DOTALL)]
+        cut = (t.strip()[: ends[-1]], t.strip()[ends[-1] :]) if ends else (t, t)
+        whole, *parts = (plain_words(p) for p in (t, *cut))
+        if whole:
+            out += [(i, k) for i, w in have if share(whole, w) >= 0.8 and all(share(p, w) >= 0.5 for p in parts)]
+    return sorted(out, key=repr)
+
+
+def found_pairs(docs, items, **options):
+    return sorted(((r.doc_id, r.item_id) for r in contaminated_pairs(docs, items, **options).collect()), key=repr)
 
 
 def test_decontamination_equals_brute_force(spark, sf_dir, docs):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    got = {(r.doc_id, r.item_id) for r in op7_decontamination(spark, sf_dir).collect()}
+    got = sorted(((r.doc_id, r.item_id) for r in op7_decontamination(spark, sf_dir).collect()), key=repr)
     assert got == brute_pairs([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
 
 
-ITEMS = [(1, "What is the tall red tower that stands by the old river bridge? The ancient keep of Carn."), (2, "one two three four five six seven eight nine ten."), (3, None), (4, ""), (5, "tiny"), (2, "one two three four five six seven eight nine ten.")]
+def test_decontamination_equals_its_sql(spark, sf_dir):
+    same(op7_decontamination(spark, sf_dir).toPandas(), connect(sf_dir).sql(ORACLES["op7_decontamination"]).df())
+
+
+@pytest.mark.parametrize("index_bytes", [1 << 20, 3000])
+def test_every_document_that_holds_an_item_whole_is_found(spark, sf_dir, docs, index_bytes):
+    """The planted truth: an item's words stand in the text, one after the other."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    texts = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").limit(40).collect()]
+    planted = [(1000 + k, f"{texts[k % 40][1]} {t} {texts[(k + 7) % 40][1]}") for k, t in items]
+    table, known = spark.createDataFrame(texts + planted, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(1000 + k, k) for k, _ in items} <= set(found_pairs(table, known, index_bytes=index_bytes))
+    kept = {r.doc_id for r in decontaminate(table, known, index_bytes=index_bytes).collect()}
+    held = {i for i, _ in brute_pairs(texts + planted, items)}
+    assert kept == {i for i, _ in texts + planted} - held and len(kept) > 20
+
+
+ITEMS = [(1, "What is the tall red tower that stands by the old river bridge? The ancient keep of Carn."), (2, "one two three four five six seven eight nine ten."), (3, None), (4, ""), (5, "tiny"), (2, "one two three four five six seven eight nine ten."), (6, "Which of the many rivers of the north is the longest? Ob."), (7, "Who? The man who came to dinner on that night. ***")]
 
 
-def test_decontamination_edge_cases(spark, documents):
+@pytest.mark.parametrize("index_bytes", [1 << 20, 40])
+def test_decontamination_edge_cases(spark, documents, index_bytes):
     filler = " ".join(f"f{i}" for i in range(500))
     q = ITEMS[0][1]
-    texts = [(1, f"{filler} {q} {filler}"), (2, f"{filler} {q.upper().replace(' ', '!! ')}"), (3, q.split("?")[0] + "? unrelated answer here entirely"), (4, None), (5, ""), (6, filler * 20), (7, "x " * 3 + ITEMS[1][1]), (7, "x " * 3 + ITEMS[1][1]), (None, ITEMS[1][1]), (8, "TINY.")]
+    texts = [
+        (1, f"{filler} {q} {filler}"), (2, f"{filler} {q.upper().replace(' ', '!! ')}"), (3, q.split("?")[0] + "? unrelated answer here entirely"), (4, None), (5, ""), (6, filler * 20), (7, "x " * 3 + ITEMS[1][1]), (7, "x " * 3 + ITEMS[1][1]),
+        (None, ITEMS[1][1]), (None, "clean"), (8, "A TINY. one"), (9, f"{filler} {ITEMS[6][1]}"), (10, f"{ITEMS[6][1][:-3]}Elbe or Don."), (11, "- " * 90 + ITEMS[6][1].replace(" ", " * ") + " -" * 90), (12, ITEMS[7][1]), (1, filler),
+    ]
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string").withColumns({"doc_id": F.lit(1), "score": F.lit(1)})
-    got = sorted(((r.doc_id, r.item_id) for r in contaminated_pairs(documents(texts), items).collect()), key=repr)
-    assert got == sorted([(1, 1), (2, 1), (7, 2), (7, 2), (7, 2), (7, 2), (None, 2), (None, 2), (8, 5)], key=repr)
-    left = decontaminate(documents(texts), items)
-    assert sorted((r.doc_id for r in left.collect() if r.doc_id), key=repr) == [3, 4, 5, 6] and left.columns == documents(texts).columns
-    assert contaminated_pairs(documents(texts), items.limit(0)).count() == contaminated_pairs(documents(texts).limit(0), items).count() == 0
+    got = found_pairs(documents(texts), items, index_bytes=index_bytes)
+    assert got == sorted([(1, 1), (2, 1), (7, 2), (7, 2), (7, 2), (7, 2), (None, 2), (None, 2), (8, 5), (9, 6), (11, 6), (12, 7)], key=repr) == brute_pairs(texts, ITEMS)
+    left = decontaminate(documents(texts), items, index_bytes=index_bytes)
+    assert sorted((r.doc_id for r in left.collect()), key=repr) == sorted([1, 3, 4, 5, 6, 10, None], key=repr) and left.columns == documents(texts).columns
+    assert contaminated_pairs(documents(texts), items.limit(0)).count() == contaminated_pairs(documents(texts).limit(0), items, index_bytes=index_bytes).count() == 0
+    assert decontaminate(documents(texts).limit(0), items, index_bytes=index_bytes).count() == 0
 
 
-def test_index_in_blocks_finds_the_same(spark, sf_dir, docs):
+def test_index_in_blocks_gives_the_same_scores(spark, sf_dir, docs):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    pairs = lambda **k: sorted((r.doc_id, r.item_id) for r in contaminated_pairs(docs, items, **k).collect())
-    assert pairs(index_bytes=2000) == pairs()
+    rows = lambda **k: sorted((r.doc_id, r.item_id, round(r.bm25, 9), r.shared_shingles) for r in contaminated_pairs(docs, items, **k).collect())
+    assert rows(index_bytes=2000) == rows()
+
+
+def test_shorter_texts_of_an_item_are_found_as_by_brute_force(spark):
+    """Items cut and edited at random, with shingles that repeat: retrieval loses none that verification accepts."""
+    rng = np.random.Generator(np.random.PCG64(8))
+    words = [f"w{i}" for i in range(60)]
+    items = [(k, " ".join(rng.choice(words[: 4 if k % 5 == 0 else 60], rng.integers(3, 45)))) for k in range(60)]
+    docs = []
+    for i in range(600):
+        w = items[i % 60][1].split()
+        for _ in range(rng.integers(0, 3)):
+            w[rng.choice([0, len(w) - 1, rng.integers(0, len(w))])] = "edit"
+        a, b = rng.integers(0, 1 + len(w) // 5, 2)
+        docs.append((i, " ".join(["pad"] * int(rng.integers(0, 30)) + w[a : len(w) - b])))
+    got = found_pairs(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert got == brute_pairs(docs, items) and 100 < len(got)
+
+
+def test_a_block_of_postings_may_have_any_size():
+    items = [(k, f"a b c d e x{k} y{k % 7}") for k in range(200)]
+    idf = {w.encode(): 1.0 + len(w) for _, t in items for w in t.split()}
+    for block in (1, 3, 32, 500):
+        index = Index(items, idf, 7.0, block=block)
+        assert [k for k, _ in index.search({index.terms[w] for w in (b"a", b"b", b"c", b"d", b"e", b"x9", b"y2")}, 1 - 1e-9)] == [9]
 
 
 def test_wand_returns_all_above_the_threshold():
@@ -157,13 +226,9 @@ def test_wand_returns_all_above_the_threshold():
             assert sorted(k for k, _ in index.search(terms, threshold)) == np.flatnonzero(scores >= threshold).tolist() or np.isclose(scores, threshold).any()
 
 
-def test_passage_bounds_leave_no_passage_out():
+def test_passages_with_essential_terms():
     rng = np.random.Generator(np.random.PCG64(3))
-    bounds = np.vstack([rng.random((50, 4)) / 8, np.zeros((1, 4))]).astype(np.float32)
     for n in (0, 1, 9, 10, 11, 37, 200, 50_000):
-        codes = rng.integers(0, 200, n).clip(max=50).astype(np.int32)
-        got = set(_promising(codes, bounds, 10, 50, 0.6))
-        for start in range(0, max(1, n - 10), 10):
-            terms = sorted(set(codes[start : start + 20].tolist()) - {50})
-            if bounds[terms].sum(0).max(initial=0) >= 0.6 + 1e-4:
-                assert start in got
+        codes = rng.integers(0, 200, n).astype(np.int32)
+        starts = list(range(0, max(1, n - 10), 10))
+        assert dec.passages(codes, 10, 5) == [s for s in starts if (codes[s : s + 20] < 5).any()]
