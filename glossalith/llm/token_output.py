@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,7 @@ from .common import utf8
 
 SHARD_SCHEMA = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("local_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
+MARKS = string.punctuation.encode()
 #: Tokenizers by path, and ids by word, kept by a worker from task to task.
 _LOADED: dict = {}
 
@@ -28,49 +31,77 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(shifted)) for b in range(256)]
 
 
-def _encoder(path: str, limit: int = 350_000):
+def _encoder(path: str, limit: int = 350_000, together: int = 256):
     """bytes -> little-endian 32-bit ids, through a cache by word: two generations of at most `limit` words each, the
     older of which is dropped when the younger is full.
 
     A text is cut at ASCII white space, which the tokenizer drops and never lets a piece cross, so the ids of the
     words in order are the ids of the text. It also lowers case, so A-Z are lowered before the cache is asked (texts
     that hold a mark of its special tokens excepted, whose case counts). A new word that is letters alone, but for marks
-    at its end, is one piece and one piece of marks: these go to the vocabulary's merges at once. All other words go
-    through the whole tokenizer.
+    at its end, is one piece and one piece of marks: such pieces go to the vocabulary's merges, `together` at once, past
+    the rest of the tokenizer. All other words go through the whole tokenizer.
     """
     if path in _LOADED:
         return _LOADED[path]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer, cache, older, letters = Tokenizer.from_file(path), {}, {}, _byte_letters()
-    four = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+    tokenizer, cache, letters, older = Tokenizer.from_file(path), {}, _byte_letters(), {}
     settings = json.loads(tokenizer.to_str())
     lowers = "Lowercase" in json.dumps(settings.get("normalizer"))
     plain = settings["pre_tokenizer"] is not None and settings["model"].get("dropout") is None and lowers
-    model = tokenizer.model
+    merges = Tokenizer.from_str(json.dumps(settings | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}))
 
-    def packed(ids: list[int]) -> bytes:
-        return b"".join([four[i] for i in ids])
+    four = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
 
     def whole(word: bytes) -> bytes:
-        return packed(tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        return b"".join([four[i] for i in tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids])
 
-    def new(word: bytes) -> bytes:
-        stem = word.rstrip(b".,;:!?")
+    def one_piece(stem: bytes) -> str | None:
+        """The stem's bytes as letters of the vocabulary, if the tokenizer takes it for one piece."""
+        if stem.isalpha():
+            return stem.decode() if stem.islower() else None
         text = stem.decode("utf-8", "replace")
-        if not plain or not text.isalpha() or text != text.lower() or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
-            return whole(word)
-        ids = cache.get(stem)
-        if ids is None:
-            ids = cache[stem] = packed([t.id for t in model.tokenize(text if text.isascii() else "".join(map(letters.__getitem__, stem)))])
-        if len(stem) == len(word):
-            return ids
-        tail = word[len(stem) :]
-        marks = cache.get(tail)
-        if marks is None:
-            marks = cache[tail] = whole(tail)
-        return ids + marks
+        low = text.lower()  # as a whole; the tokenizer lowers letter by letter, which a final sigma shows
+        if text.isalpha() and low.isalpha() and "\u03a3" not in text and unicodedata.is_normalized("NFC", text):
+            return "".join(map(letters.__getitem__, low.encode()))
+        return None
+
+    def learn(words: list[bytes]) -> None:
+        stems, cut = {}, []
+        for word in words:
+            found = older.get(word)
+            if found is not None:
+                cache[word] = found
+                continue
+            stem = word.rstrip(MARKS)
+            if stem not in cache and stem not in stems:
+                found = older.get(stem)
+                if found is None:
+                    text = one_piece(stem) if plain else None
+                    if text is None:
+                        cache[word] = whole(word)
+                        continue
+                    stems[stem] = text
+                else:
+                    cache[stem] = found
+            if len(stem) < len(word):
+                cut.append((word, stem, word[len(stem) :]))
+        pieces = list(stems)
+        for i in range(0, len(pieces), together):
+            part = pieces[i : i + together]
+            found = merges.encode(" ".join([stems[x] for x in part]), add_special_tokens=False)
+            at, own = 0, found.word_ids
+            ids = b"".join([four[x] for x in found.ids])
+            for k, stem in enumerate(part):
+                end = bisect_right(own, k, at)
+                cache[stem] = ids[4 * at : 4 * end]
+                at = end
+        for word, stem, tail in cut:
+            marks = cache.get(tail)
+            if marks is None:
+                marks = cache[tail] = whole(tail)
+            cache[word] = cache[stem] + marks
 
     def encode(text: bytes) -> bytes:
         nonlocal cache, older
@@ -79,12 +110,13 @@ def _encoder(path: str, limit: int = 350_000):
         if None in parts:
             if len(cache) > limit:
                 cache, older = {}, cache
-            at = -1
+            places, at = [], -1
             for _ in range(parts.count(None)):
                 at = parts.index(None, at + 1)
-                word = words[at]
-                part = cache.get(word) or older.get(word)
-                parts[at] = cache[word] = new(word) if part is None else part
+                places.append(at)
+            learn([words[i] for i in places])
+            for i in places:
+                parts[i] = cache[words[i]]
         return b"".join(parts)
 
     _LOADED[path] = encode
@@ -117,9 +149,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None =
                     at += 1
                     if total > 2_000_000:
                         break
+                n = len(sizes)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("int64")
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), total, [None, pa.py_buffer(b"".join(parts))]))
-                n = len(sizes)
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), batch.column(0).slice(part, n), pa.array(start + offsets[:-1]), pa.array(sizes, pa.int64()), ids], names=SHARD_SCHEMA.names)
                 start += total
 
