@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Workspace
+from .common import WORD, Workspace, rename_free
 
 
 def text_size(text_col: str = "text") -> Column:
@@ -84,27 +84,36 @@ def pivotal_mix(docs: DataFrame, weights=cyclic_weights, max_ratio: float = 3.0,
     """One row per input row: id, source, size, source_size, target, copies, extra_words, taken.
 
     A document of a source with target T and size S has T/S copies: the whole part is certain, the rest is a
-    probability that pivotal rounding makes 0 or 1. Units of a source are dealt by a hash of their ids to groups of
-    about group_rows; each group leaves one fractional unit at most, fan_in groups' leftovers form a group of the
+    probability that pivotal rounding makes 0 or 1. Units of a source are dealt by a hash to groups of about
+    group_rows; each group leaves one fractional unit at most, fan_in groups' leftovers form a group of the
     next level, until one unit a source is left. It takes that part of its words (extra_words), so a source's
     taken words are its target but for rounding to a word.
 
-    The result depends on ids, sizes, sources and seed only. Documents without words take nothing. Null is a source
-    of its own. Repeated rows are units of their own. An empty table gives an empty result. Sources are held on the
-    driver with their totals: their number is that of the mix's parts, not of documents.
+    The result depends on ids, sizes, sources and seed only, not on how rows are partitioned. Rows that agree in id (null
+    included), source and size are units of their own, numbered from 0: which of them has which number doesn't show in
+    the result, and no group holds them all. Documents without words take nothing. Null is a source of its own. Very long
+    texts are one number here. An empty table gives an empty result. Sources are held on the driver with their totals:
+    their number is that of the mix's parts, not of documents. Other columns are not read, whatever their names.
     """
-    spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "mixing")
-    sized = ws.save(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), text_size(text_col).alias("size"), F.monotonically_increasing_id().alias("place")), "sized")
+    plan = _plan(docs.select(id_col, text_col, source_col, F.monotonically_increasing_id().alias("place")), weights, max_ratio, id_col, text_col, source_col, group_rows, fan_in, seed)
+    return plan.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", "extra_words", (F.col("copies") * F.col("size") + F.col("extra_words")).alias("taken"))
+
+
+def _plan(rows: DataFrame, weights, max_ratio: float, id_col: str, text_col: str, source_col: str, group_rows: int, fan_in: int, seed: int) -> DataFrame:
+    """pivotal_mix of rows that have a unique column place, which is kept."""
+    spark, ws = rows.sparkSession, Workspace(rows.sparkSession, "mixing")
+    sized = rows.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), text_size(text_col).alias("size"), "place", F.spark_partition_id().alias("run"))
+    sized = ws.save(sized.withColumn("key", F.xxhash64("id", "source", "size")), "sized")
     totals = {r[0]: (r[1], r[2]) for r in sized.groupBy("source").agg(F.sum("size"), F.count(F.lit(1))).collect()}
     sizes = {s: n for s, (n, _) in totals.items()}
     targets = capped_targets(sizes, weights(list(sizes)) if callable(weights) else weights, max_ratio)
     plan = spark.createDataFrame([(s, sizes[s], float(targets[s]), float(targets[s] / sizes[s]) if sizes[s] else 0.0, max(1, -(-totals[s][1] // group_rows))) for s in sizes], "p_source string, source_size bigint, target double, ratio double, groups bigint")
     rows = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")  # a row per source
     base = F.floor("ratio")
-    order = F.xxhash64("id", "size", F.lit(seed))
-    units = rows.filter("size > 0").select("place", "source", "size", (F.col("ratio") - base).alias("part"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.col("groups")).alias("group"), order.alias("order"))
+    numbered = rows.join(_numbers(sized), "place", "left").withColumn("number", F.coalesce("number", F.lit(0)))
+    units = numbered.filter("size > 0").select("place", "source", "size", (F.col("ratio") - base).alias("part"), F.pmod(F.xxhash64("key", "number", F.lit(seed + 1)), F.col("groups")).alias("group"), F.xxhash64("key", "number", F.lit(seed)).alias("order"))
     open_units = units.filter("part > 1e-9 and part < 1 - 1e-9")
-    levels, k, most = [], 0, max([g for *_, g in [(1, 1)]] + [-(-n // group_rows) for _, n in totals.values()])
+    levels, k, most = [], 0, max([1, *(-(-n // group_rows) for _, n in totals.values())])
     level_in = open_units
     while True:
         solved = ws.save(level_in.groupBy("source", "group").applyInPandas(_one(seed + k), UNIT), f"level{k}")
@@ -120,9 +129,17 @@ def pivotal_mix(docs: DataFrame, weights=cyclic_weights, max_ratio: float = 3.0,
     joined = rows.join(decided.select("place", F.col("part").alias("got"), "done"), "place", "left")
     rounded = F.when(F.col("got").isNotNull() & F.col("done"), F.col("got")).when(F.col("got").isNull() & (F.col("ratio") - base > 0.5), 1.0).otherwise(0.0)
     extra = F.when(F.col("done") == F.lit(False), F.round(F.col("got") * F.col("size"))).otherwise(F.lit(0)).cast("long")
-    return joined.select("id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, base + rounded).otherwise(0).cast("long").alias("copies"), extra.alias("extra_words")).select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", "extra_words", (F.col("copies") * F.col("size") + F.col("extra_words")).alias("taken")
-    )
+    return joined.select("place", "id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, base + rounded).otherwise(0).cast("long").alias("copies"), extra.alias("extra_words"))
+
+
+def _numbers(sized: DataFrame) -> DataFrame:
+    """(place, number) of the rows whose key occurs more than once: 0, 1, 2, ... within a key. Rows are numbered within
+    (key, run) and shifted by the counts of the runs before, so a key with a third of all rows is in no single task."""
+    counts = sized.groupBy("key", "run").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("key").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # a row per run
+    shifts = counts.withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy("key"))).filter("all > 1")
+    own = F.row_number().over(Window.partitionBy("key", "run").orderBy("place"))
+    return sized.select("key", "run", "place").withColumn("own", own).join(shifts.select("key", "run", "shift"), ["key", "run"]).select("place", (F.col("shift") + F.col("own") - 1).alias("number"))
 
 
 def _one(seed: int):
@@ -134,10 +151,16 @@ def _one(seed: int):
     return one
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
+def mixed_rows(docs: DataFrame, weights=cyclic_weights, max_ratio: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", group_rows: int = 2_000, fan_in: int = 256, seed: int = 11) -> DataFrame:
     """docs with each row repeated as often as the mix takes it; the one leftover document of a source is taken whole
-    when at least half of it is due. Expects distinct ids."""
-    plan = pivotal_mix(docs, id_col=id_col, **options)
-    times = plan.select(F.col(id_col).alias("mix_id__"), (F.col("copies") + (2 * F.col("extra_words") >= F.greatest(F.col("size"), F.lit(1))).cast("int")).alias("times__")).filter("times__ > 0")
-    taken = docs.join(times, docs[id_col].eqNullSafe(F.col("mix_id__")))
-    return taken.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("times__").cast("int")))).select(*docs.columns)
+    when at least half of it is due. Rows without words are not taken.
+
+    Rows are written once with a number of their own, by which the plan comes back to them: null and repeated ids, and
+    rows that are alike, are each taken by their own count. All columns pass through, whatever their names.
+    """
+    place, times, copy = (rename_free(docs.columns, c) for c in ("place", "times", "copy"))
+    rows = Workspace(docs.sparkSession, "mixed-rows").save(docs.withColumn(place, F.monotonically_increasing_id()), "rows")
+    plan = _plan(rows.select(id_col, text_col, source_col, F.col(place).alias("place")), weights, max_ratio, id_col, text_col, source_col, group_rows, fan_in, seed)
+    whole = F.col("copies") + (2 * F.col("extra_words") >= F.greatest(F.col("size"), F.lit(1))).cast("int")
+    taken = rows.join(plan.select(F.col("place").alias(place), whole.alias(times)).filter(F.col(times) > 0), place)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
