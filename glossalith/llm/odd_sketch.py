@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordCache, Workspace, ascii_words, utf8
+from .common import WordCache, Workspace, ascii_words, rename_free, utf8
 from .components import connected_components
 
 #: Rows of a band and number of bands: a pair of similarity 0.85 shares no band with probability 4e-7.
@@ -18,6 +18,10 @@ SAMPLES = ROWS * BANDS
 OFFER_ROUNDS = 4
 #: Bits of an odd sketch; about six times the samples, so parities rarely cancel.
 BITS = 512
+#: Bits of the odd sketch of a whole set, and the most shingles that one takes; of larger sets a half, a quarter, ... by hash.
+WIDE, FULL = 2048, 2048
+#: Rows of a bucket that are compared in one task.
+CHUNK = 1024
 
 _WORDS: WordCache | None = None
 
@@ -163,27 +167,38 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     3. In rounds, each component makes one offer: of its members' neighbours in a bucket (next to each other in the order
        of the following bands) and of the buckets' heaviest members, the one that the odd sketches find most similar. The
        offers are confirmed on the full sets and join components, so a round has at most as many pairs as components.
-    4. Pairs left in a bucket across components are all proposed after that, each member outside the bucket's largest
-       component against the other components' members, so no link between candidates is lost. Left out are
-       only pairs that can't be linked by exact bounds (see there): of many loose copies of one text, these leave hardly
-       any. Within a component nothing more is compared.
-
-    Linked means 100 |intersection| >= percent |union|. component_id is the smallest id reachable; kept is
+    4. Members of a bucket that are still in different components are compared by odd sketches of their whole sets, each
+       member outside the bucket's largest component with the other components' members. No more bits differ than
+       shingles do, so a pair with more differing bits than linked sets have differing shingles is not linked: nothing
+       is lost by it, and what is left, which is little beyond the linked pairs themselves, is confirmed on full sets.
+       (Sets of over FULL shingles are sampled by hash: five standard deviations are allowed for that.)
+
+    A bucket's rows are dealt to tasks in chunks of about CHUNK, so no key is one task's.
+    Linked means 100 |intersection| >= percent |union|, on 64-bit hashes of shingles: two of the n shingles of a pair agree
+    by chance with a probability of n * n / 2**65. component_id is the smallest id reachable; kept is
     id = component_id; representative is true for exactly one row of a component, also when ids repeat.
-    Null and empty texts (or white space alone) have no shingles and are linked with nothing. An empty table gives an
-    empty result. Other columns are not read.
+    Null and empty texts (or white space alone) have no shingles and are linked with nothing. A null id counts as
+    smallest. Repeated rows are of one class; very long texts are read whole. An empty table gives an empty result. Other
+    columns are not read.
     """
-    spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "odd-sketch")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
-    numbered = source.select("id", F.spark_partition_id().alias("run"), F.monotonically_increasing_id().alias("place"), "text")
-    signed = ws.save(numbered.mapInArrow(_sign(words_per_shingle), SIGNED), "signed")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
+    ws = Workspace(docs.sparkSession, "odd-sketch")
+    found = _components(ws.save(rows, "rows"), ws, percent, words_per_shingle)
+    ws.drop("rows")
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept", "representative")
+
+
+def _components(source: DataFrame, ws: Workspace, percent: int, words_per_shingle: int) -> DataFrame:
+    """source: a written table (id, text, place) -> (id, place, n_shingles, component_id, kept, representative)."""
+    spark = source.sparkSession
+    signed = ws.save(source.select("id", F.spark_partition_id().alias("run"), "place", "text").mapInArrow(_sign(words_per_shingle), SIGNED), "signed")
 
     # classes, by way of the rows' runs: a class with a third of all rows has a row per run here
     rank = F.struct("id", "place")
     local = signed.groupBy("klass", "run").agg(F.min(rank).alias("best"), F.first("n_shingles").alias("n_shingles"))
     classes = ws.save(local.groupBy("klass").agg(F.min("best").alias("best"), F.first("n_shingles").alias("n_shingles")), "classes")
     nodes = classes.filter("n_shingles > 0").select(F.col("best.place").alias("place"), "klass")
-    sketches = ws.save(signed.join(nodes, ["place", "klass"], "left_semi").select(F.col("place").alias("node"), "id", "klass", "n_shingles", "bands", "odd"), "sketches")
+    sketches = ws.save(signed.join(nodes, ["place", "klass"], "left_semi").select(F.col("place").alias("node"), "n_shingles", "bands", "odd"), "sketches")
 
     keyed = sketches.select("node", "bands", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -192,14 +207,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = ws.save(keyed.join(shared, "key").select("key", "node", "n", after.alias("after")), "buckets")
     # a common origin of near copies shares more buckets, and larger ones, than its copies do among themselves
     weight = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
-    members = ws.save(buckets.drop("n").join(weight.join(sketches.select("node", "n_shingles", "odd"), "node"), "node"), "members")
+    members = ws.save(buckets.join(weight.join(sketches.select("node", "n_shingles", "odd"), "node"), "node"), "members")
     ws.drop("buckets")
     # 0.2 below the limit: five standard deviations of the sketches' estimate there
     floor = percent / 100 - 5 * math.sqrt(percent / 100 * (1 - percent / 100) / SAMPLES)
 
     comps = ws.save(members.select("node").distinct().withColumn("comp", F.col("node")), "comps-0")
-    wanted = sketches.join(comps, "node", "left_semi").select("node", "id", "klass")
-    texts = ws.save(_texts(source, wanted, words_per_shingle), "texts")
+    texts = ws.save(source.select(F.col("place").alias("node"), "text").join(comps, "node", "left_semi"), "texts")
     tried = spark.createDataFrame([], "a bigint, b bigint")
     for k in range(1, OFFER_ROUNDS + 1):
         asked = ws.save(_offers(members.join(comps, "node"), tried, percent, floor), f"asked-{k}")
@@ -208,34 +222,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         comps, tried = _merged(comps, found, ws, k), tried.unionByName(asked)
 
-    placed = members.join(comps, "node")
-    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    split = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("major"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("key", F.col("major.comp").alias("major"))
-    open_rows = ws.save(placed.join(split, "key").select("key", "node", "comp", "major", "weight", "n_shingles", "odd"), "open")
-    # two bounds on what a pair shares: shingles that no other open text has are out of question, and of the rest no
-    # more than either has in common with the heaviest member of its buckets, or beyond it
-    tops = open_rows.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top"))
-    pivots = ws.save(open_rows.join(tops, "key").groupBy("node").agg(F.max("top")["node"].alias("pivot")), "pivots")
-    inside = _intersections(pivots.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")), texts, words_per_shingle)
-    inside = inside.select(F.col("a").alias("node"), F.col("both").alias("inside"))
-    lonely = _unshared(texts.join(pivots, "node", "left_semi"), words_per_shingle)
-    rows = open_rows.drop("weight").join(pivots, "node").join(inside, "node", "left").join(lonely, "node", "left")
-    rows = rows.withColumn("common", F.col("n_shingles") - F.coalesce("unshared", F.lit(0))).withColumn("inside", F.coalesce("inside", "n_shingles"))
-    rows = rows.filter(F.col("common") * 100 >= F.col("n_shingles") * percent).withColumn("beyond", F.greatest(F.col("common") - F.col("inside"), F.lit(0))).drop("unshared")
-    rows = ws.save(rows.join(sketches.select("node", "bands"), "node"), "linkable")
-    left, right = rows.filter("comp <> major").alias("l"), rows.alias("r")
-    apart = (F.col("l.comp") != F.col("r.comp")) & ((F.col("r.comp") == F.col("r.major")) | (F.col("l.node") < F.col("r.node")))
-    by_pivot = F.least("l.inside", "r.inside") + F.least("l.beyond", "r.beyond")
-    most = F.when(F.col("l.pivot") == F.col("r.pivot"), F.least(by_pivot, "l.common", "r.common")).otherwise(F.least("l.common", "r.common"))
-    near = (most * 100 >= (F.col("l.n_shingles") + F.col("r.n_shingles") - most) * percent) & (odd_similarity(F.col("l.odd"), F.col("r.odd")) >= floor)
-    # a pair is taken in the first of the buckets that it shares
-    here = F.array_position(F.zip_with("l.bands", "r.bands", lambda x, y: x == y), True) == F.array_position("l.bands", F.col("l.key"))
-    across = left.join(right, (F.col("l.key") == F.col("r.key")) & apart & near & here).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    across = ws.save(_across(members.join(comps, "node"), sketches, texts, ws, percent, floor, words_per_shingle), "across")
     known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = ws.save(_verified(across.join(known, ["a", "b"], "left_anti"), texts, percent, words_per_shingle), "rest")
     if rest.limit(1).count():
         comps = _merged(comps, rest, ws, 0)
-    ws.drop("texts", "open", "linkable", "members")
+    ws.drop("texts", "open", "wide", "members")
 
     grouped = classes.withColumn("node", F.col("best.place")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     tops = grouped.groupBy("comp").agg(F.min("best").alias("top"))
@@ -244,7 +236,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = signed.select("id", "run", "place", "klass", "n_shingles").join(by_run, ["klass", "run"], "left")
     alone = F.col("n_shingles") == 0
     return rows.select(
-        F.col("id").alias(id_col),
+        "id",
+        "place",
         "n_shingles",
         F.when(alone, F.col("id")).otherwise(F.col("top.id")).alias("component_id"),
         (alone | F.col("id").eqNullSafe(F.col("top.id"))).alias("kept"),
@@ -252,14 +245,27 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def _salts(n: str) -> Column:
+    return (1 + F.floor(F.col(n) / CHUNK)).cast("int")
+
+
+def _salt(salts: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(seed)), salts).cast("int")
+
+
+def _every(salts: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), salts - 1))
+
+
 def _offers(placed: DataFrame, tried: DataFrame, percent: int, floor: float) -> DataFrame:
     """(a, b): for each component the most promising pair of one of its members with one of another component in the
-    same bucket, not tried before. placed: key, node, after, weight, n_shingles, odd, comp."""
+    same bucket, not tried before. placed: key, n (rows of the bucket), node, after, weight, n_shingles, odd, comp."""
     own = ("node", "comp", "n_shingles", "odd")
-    parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", *own)).alias("top"))
-    centres = parts.groupBy("key").agg(F.max(F.struct("n", "top")).alias("c"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    rows = placed.join(centres.select("key", F.struct(*(F.col(f"c.top.{x}").alias(x) for x in own)).alias("centre")), "key")
-    before = F.lag(F.struct(*own)).over(Window.partitionBy("key").orderBy("after", "node"))
+    parts = placed.groupBy("key", "comp").agg(F.first("n").alias("all"), F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", *own)).alias("top"))
+    centres = parts.groupBy("key").agg(F.max(F.struct("n", "top")).alias("c"), F.count(F.lit(1)).alias("comps"), F.first("all").alias("all")).filter("comps > 1")
+    centres = centres.select("key", F.struct(*(F.col(f"c.top.{x}").alias(x) for x in own)).alias("centre"), _every(_salts("all")).alias("salt"))
+    rows = placed.withColumn("salt", _salt(_salts("n"), 1)).join(centres, ["key", "salt"])
+    before = F.lag(F.struct(*own)).over(Window.partitionBy("key", "salt").orderBy("after", "node"))
     sides = rows.withColumn("before", before).select(F.struct(*own).alias("x"), F.explode(F.array("before", "centre")).alias("y")).filter("y is not null and x.comp <> y.comp")
     similar = sides.withColumn("s", odd_similarity(F.col("x.odd"), F.col("y.odd"))).filter((F.col("s") >= floor) & (F.least("x.n_shingles", "y.n_shingles") * 100 >= F.greatest("x.n_shingles", "y.n_shingles") * percent))
     pair = F.struct(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
@@ -268,53 +274,80 @@ def _offers(placed: DataFrame, tried: DataFrame, percent: int, floor: float) ->
     return both.groupBy("comp").agg(F.max("o").alias("o")).select("o.a", "o.b").distinct()
 
 
-def _merged(comps: DataFrame, links: DataFrame, ws: Workspace, k: int) -> DataFrame:
-    """comps (node, comp) after links (a, b) between their nodes; only the components that links touch are searched."""
-    of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
-    edges = links.join(of("a"), "a").join(of("b"), "b").filter("comp_a <> comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
-    grown = connected_components(edges, ws, f"merge-{k}").select(F.col("node").alias("comp"), F.col("comp").alias("into"))
-    return ws.save(comps.join(grown, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")), f"comps-{k}" if k else "comps-last")
-
+def wide_sketches(texts: DataFrame, words_per_shingle: int) -> DataFrame:
+    """(node, level, wide, half): odd sketches of whole sets. level l: of a set of n shingles those are folded whose hash
+    ends in l zero bits, with n / 2**l at most FULL; half is the sketch of the next level."""
 
-def _unshared(texts: DataFrame, words_per_shingle: int) -> DataFrame:
-    """(node, unshared): how many of a node's shingles no other of these nodes has."""
-
-    def spread(batches: Iterator) -> Iterator:
+    def folded(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = shingle_set(text.as_buffer().to_pybytes(), words_per_shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node, np.int64)), pa.array(s)], names=["node", "shingle"])
+        def fold(s):
+            return np.packbits((np.bincount((s >> np.uint64(40)).astype(np.int64) % WIDE, minlength=WIDE) & 1).astype(np.uint8)).view(np.int64)
 
-    rows = texts.select("node", "text").mapInArrow(spread, "node bigint, shingle bigint")
-    once = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last")
-    return once.groupBy("node").agg(F.count(F.lit(1)).alias("unshared"))
+        for batch in filter(len, batches):
+            levels, wide, half = [], [], []
+            for text in batch.column(1):
+                s = shingle_set(text.as_buffer().to_pybytes(), words_per_shingle)
+                level = max(0, math.ceil(math.log2(max(1, len(s)) / FULL)))
+                s = s[s & np.uint64((1 << level) - 1) == 0]
+                levels.append(level)
+                wide.append(fold(s))
+                half.append(fold(s[s & np.uint64((1 << level + 1) - 1) == 0]))
+            arrays = [pa.ListArray.from_arrays(pa.array(np.arange(len(levels) + 1, dtype=np.int32) * (WIDE // 64)), pa.array(np.concatenate(x))) for x in (wide, half)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(levels, pa.int32()), *arrays], names=["node", "level", "wide", "half"])
+
+    return texts.select("node", "text").mapInArrow(folded, "node bigint, level int, wide array<bigint>, half array<bigint>")
+
+
+def may_be_linked(x: str, y: str, percent: int) -> Column:
+    """False only for pairs of rows x, y (n_shingles, level, wide, half) that are not linked: linked sets of a and b
+    shingles differ in at most (a + b) (100 - percent) / (100 + percent), and differing bits are no more than these."""
+    a, b = (lambda c: F.col(f"{x}.{c}")), (lambda c: F.col(f"{y}.{c}"))
+    level = F.greatest(a("level"), b("level"))
+    # linked sets are of similar sizes, so their levels differ by one at most
+    at = lambda r: F.when(r("level") == level, r("wide")).otherwise(r("half"))
+    differ = F.aggregate(F.zip_with(at(a), at(b), lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda n, k: n + k)
+    most = (a("n_shingles") + b("n_shingles")) * F.lit((100 - percent) / (100 + percent)) / F.pow(F.lit(2.0), level)
+    sizes = F.least(a("n_shingles"), b("n_shingles")) * 100 >= F.greatest(a("n_shingles"), b("n_shingles")) * percent
+    return sizes & (F.abs(a("level") - b("level")) <= 1) & (differ <= most + F.when(level > 0, 5 * F.sqrt(most) + 5).otherwise(1e-6))
+
+
+def _across(placed: DataFrame, sketches: DataFrame, texts: DataFrame, ws: Workspace, percent: int, floor: float, words_per_shingle: int) -> DataFrame:
+    """(a, b): pairs of different components that share a bucket and may be linked, each once."""
+    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    split = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("major"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    split = split.select("key", F.col("major.comp").alias("major"), (F.col("n") - F.col("major.n")).alias("minor"))
+    open_rows = ws.save(placed.join(split, "key").select("key", "node", "comp", "major", "minor", "odd"), "open")
+    wide = ws.save(wide_sketches(texts.join(open_rows.select("node").distinct(), "node", "left_semi"), words_per_shingle), "wide")
+    rows = open_rows.join(wide.join(sketches.select("node", "n_shingles", "bands"), "node"), "node").withColumn("salts", _salts("minor"))
+    left = rows.filter("comp <> major").withColumn("salt", _salt(F.col("salts"), 2)).alias("l")
+    right = rows.withColumn("salt", _every(F.col("salts"))).alias("r")
+    apart = (F.col("l.comp") != F.col("r.comp")) & ((F.col("r.comp") == F.col("r.major")) | (F.col("l.node") < F.col("r.node")))
+    near = (odd_similarity(F.col("l.odd"), F.col("r.odd")) >= floor) & may_be_linked("l", "r", percent)
+    # a pair is taken in the first of the buckets that it shares
+    here = F.array_position(F.zip_with("l.bands", "r.bands", lambda x, y: x == y), True) == F.array_position("l.bands", F.col("l.key"))
+    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.salt") == F.col("r.salt")) & apart & near & here)
+    return met.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
 
-def _texts(source: DataFrame, wanted: DataFrame, words_per_shingle: int) -> DataFrame:
-    """(node, text) of the wanted nodes. Where ids repeat, the row whose set is the node's class is taken."""
+def _merged(comps: DataFrame, links: DataFrame, ws: Workspace, k: int) -> DataFrame:
+    """comps (node, comp) after links (a, b) between their nodes; only the components that links touch are searched."""
+    of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+    edges = links.join(of("a"), "a").join(of("b"), "b").filter("comp_a <> comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+    grown = connected_components(edges, ws, f"merge-{k}").select(F.col("node").alias("comp"), F.col("comp").alias("into"))
+    return ws.save(comps.join(grown, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")), f"comps-{k}" if k else "comps-last")
 
-    def own(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        import xxhash
 
-        for batch in batches:
-            keep = [xxhash.xxh3_128_digest(shingle_set(t.as_buffer().to_pybytes(), words_per_shingle).tobytes()) == k for t, k in zip(batch.column(2), batch.column(1).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 2])
-
-    # a null id joins too, hence the null-safe key
-    rows = source.join(wanted.withColumnRenamed("id", "wanted_id").hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("wanted_id")))
-    unique = wanted.groupBy("id").count().filter("count > 1").limit(1).count() == 0
-    if unique and source.groupBy("id").count().filter("count > 1").limit(1).count() == 0:
-        return rows.select("node", "text")
-    return rows.select("node", "klass", "text").mapInArrow(own, "node bigint, text binary").dropDuplicates(["node"])
-
-
-def near_dedup_keep(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of docs that near_dedup keeps, one of each group, with docs' own columns. Expects ids without repeats;
-    of rows that repeat an id, those of one group stay together only once."""
-    id_col = options.get("id_col", "doc_id")
-    ids = near_dedup(docs, **options).filter("representative").select(F.col(id_col).alias("kept_id__"))
-    return docs.join(ids.distinct(), docs[id_col].eqNullSafe(F.col("kept_id__")), "left_semi")
+def near_dedup_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words_per_shingle: int = 5) -> DataFrame:
+    """The rows of docs that near_dedup calls representative, one of each group, with docs' own columns.
+
+    Rows are written once with a number of their own, by which they are kept, so null and repeated ids make no difference
+    but for which row of a group stays (the smallest id, null first). Rows without words all stay.
+    """
+    place = rename_free(docs.columns, "place")
+    ws = Workspace(docs.sparkSession, "near-dedup-rows")
+    rows = ws.save(docs.withColumn(place, F.monotonically_increasing_id()), "rows")
+    source = rows.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"), F.col(place).alias("place"))
+    kept = _components(source, Workspace(docs.sparkSession, "odd-sketch"), percent, words_per_shingle).filter("representative")
+    return rows.join(kept.select(F.col("place").alias(place)), place, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

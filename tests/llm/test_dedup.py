@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glossalith.llm import odd_sketch
 from glossalith.llm.components import connected_components
@@ -130,6 +131,71 @@ def test_near_dedup_keep_has_the_input_columns(documents):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
+def test_near_dedup_keep_with_null_and_repeated_ids(documents):
+    """Rows are told apart by their place: one of each group stays, whatever their ids."""
+    rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (1, "a b c d e f g"), (None, "o p q r s t u"), (None, "v w x y z a b"), (None, None), (None, ""), (2, "H i j k l m n"), (3, "x " * 60_000), (3, "x " * 59_000)]
+    kept = near_dedup_keep(documents(rows).withColumn("place", F.lit("mine"))).collect()
+    assert sorted(((r.doc_id, (r.text or "").lower()[:13]) for r in kept), key=repr) == sorted([(1, "a b c d e f g"), (1, "h i j k l m n"), (None, "o p q r s t u"), (None, "v w x y z a b"), (None, ""), (None, ""), (3, "x x x x x x x")], key=repr)
+    assert all(r.place == "mine" for r in kept)
+
+
+def test_templates_without_links_are_not_verified_in_pairs(documents, spark, monkeypatch):
+    """Texts of one template share buckets but no link: what goes to the full sets stays in proportion to the texts."""
+    random = np.random.Generator(np.random.PCG64(4))
+    counts = {}
+    for n in (150, 600):
+        options = [[f"s{k}o{o}" for o in range(4)] for k in range(40)]
+        frame = [[f"c{k}w{j}" for j in range(13)] for k in range(40)]
+        rows = [(i, " ".join(" ".join([*frame[k], options[k][random.integers(0, 4)]]) for k in range(40))) for i in range(n)]
+        verified = []
+        real = odd_sketch._verified
+        monkeypatch.setattr(odd_sketch, "_verified", lambda pairs, *rest: (verified.append(pairs.count()), real(pairs, *rest))[1])
+        got = near_rows(near_dedup(documents(rows)))
+        monkeypatch.setattr(odd_sketch, "_verified", real)
+        assert got == sorted(((i, c, m, i == c) for (i, _), (c, m) in zip(rows, brute_components(rows), strict=True)), key=repr)
+        counts[n] = sum(verified)
+    assert counts[600] < 10 * 600 and counts[600] < 6 * counts[150]
+
+
+def test_chunks_of_a_bucket_lose_no_link(documents, monkeypatch):
+    monkeypatch.setattr(odd_sketch, "CHUNK", 5)
+    monkeypatch.setattr(odd_sketch, "OFFER_ROUNDS", 1)
+    random = np.random.Generator(np.random.PCG64(9))
+    origin = [f"w{i}" for i in range(90)]
+    rows = []
+    for k in range(60):
+        w = list(origin)
+        for _ in range(random.integers(0, 6)):
+            w[random.integers(0, 90)] = f"e{random.integers(0, 30)}"
+        rows.append((k, " ".join(w)))
+    assert near_rows(near_dedup(documents(rows))) == sorted(((i, c, n, i == c) for (i, _), (c, n) in zip(rows, brute_components(rows), strict=True)), key=repr)
+
+
+@pytest.mark.parametrize("size", [3, 60, 300, 2040, 2060, 5000, 20_000])
+def test_wide_sketches_never_part_linked_sets(spark, size):
+    """Pairs of texts whose sets are just linked stay, for sizes on both sides of a level's limit; far ones go."""
+    random = np.random.Generator(np.random.PCG64(size))
+    lost = int(size * 0.15 / 1.85) - 1
+    pairs = []
+    for k in range(12):
+        w = [f"{k}w{i}" for i in range(size + 4)]
+        cut = int(random.integers(0, max(1, lost)))
+        near = w[cut:] + [f"{k}n{i}" for i in range(max(0, lost - cut))]
+        far = w[: size // 2] + [f"{k}f{i}" for i in range(size // 2)]
+        pairs += [(" ".join(w), " ".join(near), True), (" ".join(w), " ".join(far), False)]
+    texts = spark.createDataFrame([(2 * i + j, bytearray(p[j].encode())) for i, p in enumerate(pairs) for j in (0, 1)], "node bigint, text binary")
+    sizes = spark.createDataFrame([(2 * i + j, len(shingle_set(p[j].encode()))) for i, p in enumerate(pairs) for j in (0, 1)], "node bigint, n_shingles bigint")
+    rows = odd_sketch.wide_sketches(texts, 5).join(sizes, "node")
+    joined = rows.alias("l").join(rows.alias("r"), F.expr("l.node + 1 = r.node and l.node % 2 = 0")).select(F.expr("l.node").alias("node"), odd_sketch.may_be_linked("l", "r", 85).alias("may"))
+    may = {r.node // 2: r.may for r in joined.collect()}
+    for i, (a, b, close) in enumerate(pairs):
+        x, y = shingles(a), shingles(b)
+        if 100 * len(x & y) >= 85 * len(x | y):
+            assert may[i]
+        if not close and size >= 60:
+            assert not may[i]
+
+
 @pytest.mark.parametrize("similarity", [0.7, 0.85, 0.95])
 def test_odd_sketches_estimate_high_similarities(similarity):
     random = np.random.Generator(np.random.PCG64(1))
