@@ -58,19 +58,26 @@ def display_ipa(word: str | None, final_schwa: bool = False) -> str | None:
 
 
 # IPA letters in plain Latin, and the digraphs that count as one sound, in order.
-PLAIN = str.maketrans({"ə": "a", "ɾ": "r", "ɦ": "h", "ʊ": "u", "ɪ": "i", "ʰ": "h", "ʱ": "h", "ŋ": "n", "ɲ": "n", "ʃ": "sh", "ː": ""})
+PLAIN = {"ə": "a", "ɾ": "r", "ɦ": "h", "ʊ": "u", "ɪ": "i", "ʰ": "h", "ʱ": "h", "ŋ": "n", "ɲ": "n", "ʃ": "sh"}
 DIGRAPHS = [("tsh", "c"), ("sh", "s"), ("kh", "x"), ("ai", "e"), ("au", "o")]
 
 
-def match_fold(text: str | None) -> str | None:
-    """IPA or romanised text as bare ASCII letters, so that both spellings of a sound meet."""
-    if text is None:
-        return None
-    bare = re.sub("[̀-ͯ]", "", unicodedata.normalize("NFD", text)).lower().translate(PLAIN)
-    bare = re.sub("[^a-z]", "", bare)
-    for pair, one in DIGRAPHS:
-        bare = bare.replace(pair, one)
-    return bare
+def _base_letters() -> dict[str, str]:
+    """ASCII letters by the composed letters that decompose to them, as Unicode has it."""
+    return {chr(i): base for i in range(0x80, 0x3000) if (base := unicodedata.normalize("NFD", chr(i))[0]).isascii() and base.isalpha()}
+
+
+def match_fold_sql(sound: str) -> str:
+    """SQL: IPA or romanised text as bare ASCII letters, so that both spellings of a sound meet."""
+    one = _base_letters() | {k: v for k, v in PLAIN.items() if len(v) == 1}
+    folded = f"translate(lower(translate({sound}, '{''.join(one)}', '{''.join(one.values())}')), '{''.join(k for k in PLAIN if len(PLAIN[k]) == 1)}', '{''.join(v for v in PLAIN.values() if len(v) == 1)}')"
+    for mark, plain in PLAIN.items():
+        if len(plain) > 1:
+            folded = f"replace({folded}, '{mark}', '{plain}')"
+    folded = f"regexp_replace({folded}, '[^a-z]', '')"
+    for pair, single in DIGRAPHS:
+        folded = f"replace({folded}, '{pair}', '{single}')"
+    return folded
 
 
 # Devanagari in IAST and in SLP1.
@@ -105,8 +112,9 @@ def ipa_column(words: Column | str, final_schwa: bool = False) -> Column:
     return _mapped(lambda w: display_ipa(w, final_schwa), words)
 
 
-def match_fold_column(texts: Column | str) -> Column:
-    return _mapped(match_fold, texts)
+def match_fold_column(texts: str) -> Column:
+    """The fold of the column of that name."""
+    return F.expr(match_fold_sql(f"`{texts}`"))
 
 
 def devanagari_column(texts: Column | str, scheme: str = "iast") -> Column:
@@ -125,7 +133,7 @@ def best_by_sound(results: DataFrame, key: list[str], target: str, roman: str =
     from pyspark.sql import Window
 
     parts = results.withColumn("part__", F.explode_outer(F.split(roman, ",")))
-    folded = parts.withColumn("distance__", F.levenshtein(match_fold_column("part__"), match_fold_column(F.col(target))))
+    folded = parts.withColumn("distance__", F.levenshtein(match_fold_column("part__"), match_fold_column(target)))
     nearest = folded.groupBy(*results.columns).agg(F.min("distance__").alias("distance__"))
     ranked = nearest.withColumn("rank__", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("distance__").asc_nulls_last(), order)))
     return ranked.filter("rank__ = 1").drop("rank__", "distance__")

@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .phonetics import display_ipa, match_fold, transliterate_devanagari
-from .sense_parser import SenseParser, grammar_facts
-
-
-class GrammarFacts:
-    """Table function body -> (headword, attribute, value, snippet)."""
-
-    def eval(self, body: str) -> Iterator[tuple]:
-        for f in grammar_facts(body):
-            yield f["headword"], f["attribute"], f["value"], f["snippet"]
+from .grammar_notes import grammar_facts_sql
+from .phonetics import display_ipa, match_fold_sql, transliterate_devanagari
+from .sense_parser import TIDY, SenseParser
 
 
 class SenseParts:
@@ -33,13 +27,18 @@ class SenseParts:
             yield "pos", p["marker"], p["pos"]
         for x in parsed["xrefs"]:
             yield "xref", None, x["target"]
-        yield "residue", None, parsed["residue"]
+        residue = parsed["residue"]
+        for pattern, by in TIDY:
+            residue = re.sub(pattern, by, residue)
+        yield "residue", None, residue
 
 
 def register(spark: SparkSession) -> None:
     """Registers display_ipa, match_fold, devanagari_iast, devanagari_slp1, grammar_facts and sense_parts."""
-    scalars = {"display_ipa": display_ipa, "match_fold": match_fold, "devanagari_iast": transliterate_devanagari, "devanagari_slp1": lambda t: transliterate_devanagari(t, "slp1")}
+    scalars = {"display_ipa": display_ipa, "devanagari_iast": transliterate_devanagari, "devanagari_slp1": lambda t: transliterate_devanagari(t, "slp1")}
     for name, function in scalars.items():
         spark.udf.register(name, F.udf(lambda value, f=function: f(value), "string", useArrow=True))
-    spark.udtf.register("grammar_facts", F.udtf(GrammarFacts, returnType="headword string, attribute string, value string, snippet string"))
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION match_fold(sound STRING) RETURNS STRING RETURN {match_fold_sql('sound')}")
+    facts = f"SELECT f.headword, f.attribute, f.value, f.snippet FROM (SELECT explode({grammar_facts_sql('body')}) AS f)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION grammar_facts(body STRING) RETURNS TABLE (headword STRING, attribute STRING, value STRING, snippet STRING) RETURN {facts}")
     spark.udtf.register("sense_parts", F.udtf(SenseParts, returnType="part string, marker string, value string"))

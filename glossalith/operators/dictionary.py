@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import phonetics, text
-from ..functions.sense_parser import grammar_facts_column, parsed_sense
+from ..functions.grammar_notes import grammar_facts_column
+from ..functions.sense_parser import parsed_sense
 
 
 def keep_last(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import phonetics, text
 from ..functions.legend import EVIDENCED
-from ..functions.sense_parser import grammar_facts_column, parsed_sense
+from ..functions.grammar_notes import grammar_facts_column
+from ..functions.sense_parser import parsed_sense
 from ..operators import dictionary
 from ..schemas import valid_flag
 from .base import literal, query, values

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from glossalith.functions import phonetics, text
 from glossalith.functions.script import GURMUKHI, LATIN, fold_key, group_stem, stem, to_int, tokenize
-from glossalith.functions.sense_parser import SenseParser, grammar_facts
+from glossalith.functions.grammar_notes import grammar_facts_column
+from glossalith.functions.sense_parser import SenseParser, parsed_sense
 
 
 def column(spark, values, function, kind="string"):
@@ -90,15 +91,16 @@ def test_gloss_is_no_etymon():
     assert origins[0]["etymon"] is None
 
 
-def test_enumerators_and_hashes_in_the_residue():
-    residue = SenseParser().parse("ਪਹਿਲਾ ਭਾਗ.#(ੳ) ਦੂਜਾ ਭਾਗ.")["residue"]
-    assert "#" not in residue and "(ੳ)" in residue
+def test_enumerators_and_hashes_in_the_residue(spark):
+    residue = column(spark, ["ਪਹਿਲਾ ਭਾਗ.#(ੳ) ਦੂਜਾ ਭਾਗ.", "", "ਸੰ. गुर ਧਾ- . , -", "ਸੰ. गुर , ਯਤਨ . . ਹੋਰ"], lambda c: parsed_sense(c)["residue"])
+    assert "#" not in residue[0] and "(ੳ)" in residue[0] and residue[1:] == ["", "", "ਯਤਨ.. ਹੋਰ"]
 
 
-def test_genitive_and_terms_decline():
-    facts = grammar_facts("ਸੋ 'ਸੁਰਤੀ' ਇਸਤ੍ਰੀ-ਲਿੰਗ ਹੈ, ਤੇ 'ਸੁਰਤਿ' ਦਾ ਬਹੁ-ਵਚਨ ਹੈ")
-    assert [(f["headword"], f["value"]) for f in facts] == [("ਸੁਰਤੀ", "feminine")]
-    assert grammar_facts("") == [] and grammar_facts(None) == []
+def test_genitive_and_terms_decline(spark):
+    bodies = ["ਸੋ 'ਸੁਰਤੀ' ਇਸਤ੍ਰੀ-ਲਿੰਗ ਹੈ, ਤੇ 'ਸੁਰਤਿ' ਦਾ ਬਹੁ-ਵਚਨ ਹੈ", "", None, "'ਹਾਥ' ਪੁਲਿੰਗ ਹੈ। 'ਹਾਥ' ਪੁਲਿੰਗ। 'ਕ' " + "x" * 40 + " ਪੁਲਿੰਗ"]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "i int, body string").select("i", grammar_facts_column("body").alias("f")).orderBy("i").collect()
+    assert [[(f["headword"], f["value"]) for f in r.f] for r in rows] == [[("ਸੁਰਤੀ", "feminine")], [], [], [("ਹਾਥ", "masculine")]]
+    assert rows[0].f[0]["snippet"] == "ਸੋ 'ਸੁਰਤੀ' ਇਸਤ੍ਰੀ-ਲਿੰਗ ਹੈ, ਤੇ"
 
 
 def test_ipa_keeps_its_literal_readings():
@@ -109,7 +111,9 @@ def test_ipa_keeps_its_literal_readings():
 
 def test_sound_distance_counts_letters(spark):
     """Folding to ASCII first: one letter is one edit."""
-    assert phonetics.match_fold("kərm") == phonetics.match_fold("karm") == "karm"
+    sounds = ["kərm", "karm", "Kārm", "ʃeːx", "tʃʰai", "", None, "Ṣ́ñ\u0303 1"]
+    rows = spark.createDataFrame(list(enumerate(sounds)), "i int, sound string").select("i", phonetics.match_fold_column("sound").alias("fold")).orderBy("i").collect()
+    assert [r.fold for r in rows] == ["karm", "karm", "karm", "sex", "che", "", None, "sn"]
 
 
 def test_catalogue_plus_signs_stay(spark):
