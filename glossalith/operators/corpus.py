@@ -37,12 +37,21 @@ def word_dimension(words: DataFrame, word: str = "word", order: tuple[str, ...]
     return placed.withColumn("p__", F.shiftright("m__", 33)).join(F.broadcast(starts), "p__").select((F.col("s__") + F.col("m__").bitwiseAND((1 << 33) - 1) + 1).alias("word_id"), word)
 
 
-def word_frequency(words: DataFrame, occ: DataFrame, key: str = "word") -> DataFrame:
-    """words with frequency, 0 for those that never occur: a left join to counts made before it."""
-    counts = occ.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("frequency"))
+def word_counts(occ: DataFrame, key: str = "word") -> DataFrame:
+    """(word, frequency) of the words that occur."""
+    return occ.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("frequency"))
+
+
+def with_counts(words: DataFrame, counts: DataFrame, key: str = "word") -> DataFrame:
+    """words with their frequency from counts, 0 for those that never occur."""
     return words.join(counts, key, "left").withColumn("frequency", F.coalesce("frequency", F.lit(0)))
 
 
+def word_frequency(words: DataFrame, occ: DataFrame, key: str = "word") -> DataFrame:
+    """words with frequency: a left join to counts made before it."""
+    return with_counts(words, word_counts(occ, key), key)
+
+
 def corpus_stats(occ: DataFrame, key: str = "word", source: str = "source") -> DataFrame:
     """Occurrences by word and source."""
     return occ.groupBy(key, source).agg(F.count(F.lit(1)).cast("int").alias("frequency"))
@@ -97,10 +106,13 @@ def occurrence_audit(expected: DataFrame, stored: DataFrame, line_keys: tuple[st
 
 def ingest(verses: DataFrame, script: Script = GURMUKHI) -> dict[str, DataFrame]:
     """Verses (source_fk, verse_id, shabad_id, ang, line_no, gurmukhi, translations struct of bdb and ms, writer and raag
-    columns) -> shabads, lines, words, word_occurrences, word_corpus_stats. A shabad is its first row by verse."""
+    columns) -> shabads, lines, words, word_occurrences, word_corpus_stats. A shabad is its first row by verse, a verse the
+    least of the rows that repeat it."""
     first = F.row_number().over(Window.partitionBy("shabad_id").orderBy("source_fk", "verse_id"))
     shabads = verses.filter("shabad_id is not null").withColumn("n__", first).filter("n__ = 1").select(F.col("shabad_id").alias("id"), "raag_english", "writer_english", "writer_id", F.col("ang").alias("ang_start"), "source_fk")
-    lines = verses.dropDuplicates(["source_fk", "verse_id"]).select(F.xxhash64("source_fk", "verse_id").alias("id"), "source_fk", "verse_id", "shabad_id", "ang", "line_no", "gurmukhi", F.coalesce("translations.bdb", "translations.ms").alias("translation_en"))
+    # of rows that repeat a verse the least by its columns stays, so a rerun keeps the same
+    told = verses.groupBy("source_fk", "verse_id").agg(F.min(F.struct("shabad_id", "ang", "line_no", "gurmukhi", "translations")).alias("v")).select("source_fk", "verse_id", "v.*")
+    lines = told.select(F.xxhash64("source_fk", "verse_id").alias("id"), "source_fk", "verse_id", "shabad_id", "ang", "line_no", "gurmukhi", F.coalesce("translations.bdb", "translations.ms").alias("translation_en"))
     occ = lines.select(F.col("id").alias("line_id"), "source_fk", F.posexplode(tokenize(F.col("gurmukhi"), script)).alias("position", "word"))
     words = word_dimension(occ)
     stored = strict_lookup(occ, words, ["word"], "word_id", "token").select("word_id", "line_id", "position", "source_fk")

@@ -8,29 +8,73 @@ from pyspark.sql import functions as F
 from ..functions.script import GURMUKHI, Script, fold_key
 
 
-def escape_like(column):
-    return F.regexp_replace(column, r"([\\%_])", r"\\$1")
-
-
 def search(queries: DataFrame, words: DataFrame, limit: int = 20, raw_pattern: bool = False, script: Script = GURMUKHI) -> DataFrame:
     """For each query (q) its hits among words (id, gurmukhi, frequency, search_fold): q, id, gurmukhi, frequency, match,
     rank. The limit is at most 50.
 
     Tiers: prefix of the spelling without regard to case; prefix of the folded key, without repeats; substring, only
     when the others found nothing. Within a tier by frequency, then id. % and _ are literal unless raw_pattern.
+
+    Literal tiers are equi-joins: a word is there under its beginnings (or parts) of the lengths that are asked for.
+    Patterns with wild cards have no such key and are held against all words. A question's hits are cut to the limit in
+    shares before they meet, so that no question gathers the vocabulary.
     """
     limit = max(0, min(limit, 50))
-    asked = queries.select(F.trim("q").alias("q")).filter("q <> ''").distinct()
-    asked = F.broadcast(asked.withColumn("fold__", fold_key(F.col("q"), script)))  # the questions of one call
-    pattern = F.col("q") if raw_pattern else escape_like(F.col("q"))
-    found = asked.join(words, F.like(F.lower("gurmukhi"), F.concat(F.lit("%"), F.lower(pattern), F.lit("%"))) | ((F.col("fold__") != "") & F.col("search_fold").startswith(F.col("fold__"))))
-    prefix = F.like(F.lower("gurmukhi"), F.concat(F.lower(pattern), F.lit("%")))
-    tier = F.when(prefix, 1).when((F.col("fold__") != "") & F.col("search_fold").startswith(F.col("fold__")), 2).otherwise(3)
-    tiers = found.withColumn("tier", tier)
-    best = F.min("tier").over(Window.partitionBy("q"))
-    ranked = tiers.withColumn("best", best).filter("tier < 3 or best = 3").withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("tier", F.desc("frequency"), "id")))
+    asked = queries.select(F.trim("q").alias("q")).filter("q <> ''").distinct().select("q", F.lower("q").alias("low"), fold_key(F.col("q"), script).alias("fold"))
+    spelt = words.select("id", "gurmukhi", "frequency", "search_fold", F.lower("gurmukhi").alias("low"))
+    if raw_pattern:
+        by_prefix = _like(asked, spelt, F.concat(F.col("asked"), F.lit("%")))
+    else:
+        by_prefix = _keyed(asked, "low", spelt, _beginnings("low", _lengths(asked, "low")))
+    by_fold = _keyed(asked.filter("fold <> ''"), "fold", spelt, _beginnings("search_fold", _lengths(asked, "fold")))
+    near = by_prefix.withColumn("tier", F.lit(1)).unionByName(by_fold.withColumn("tier", F.lit(2))).groupBy("q", "id", "gurmukhi", "frequency").agg(F.min("tier").alias("tier"))
+    first = _ranked(near, limit)
+    rest = asked.join(near.select("q").distinct(), "q", "left_anti")
+    if raw_pattern:
+        parts = _like(rest, spelt, F.concat(F.lit("%"), F.col("asked"), F.lit("%")))
+    else:
+        parts = _keyed(rest, "low", spelt, _parts("low", _lengths(rest, "low")))
+    found = first.unionByName(_ranked(parts.withColumn("tier", F.lit(3)), limit))
     names = F.element_at(F.array(F.lit("prefix"), F.lit("fold"), F.lit("contains")), F.col("tier"))
-    return ranked.filter(F.col("rank") <= limit).select("q", "id", "gurmukhi", "frequency", names.alias("match"), "rank")
+    return found.select("q", "id", "gurmukhi", "frequency", names.alias("match"), "rank")
+
+
+def _lengths(asked: DataFrame, column: str) -> list[int]:
+    """The different lengths of the questions: a handful, however many they are."""
+    return sorted(r[0] for r in asked.select(F.length(column)).distinct().collect() if r[0])
+
+
+def _beginnings(column: str, lengths: list[int]):
+    return F.array(*(F.when(F.length(column) >= n, F.left(column, F.lit(n))) for n in lengths)) if lengths else F.array().cast("array<string>")
+
+
+def _parts(column: str, lengths: list[int]):
+    """The distinct substrings of these lengths."""
+
+    def cuts_of(n: int):
+        starts = F.sequence(F.lit(1), F.greatest(F.length(column) - n + 1, F.lit(1)))
+        return F.when(F.length(column) >= n, F.transform(starts, lambda i: F.substring(F.col(column), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    cuts = [cuts_of(n) for n in lengths]
+    return F.array_distinct(F.flatten(F.array(*cuts))) if cuts else F.array().cast("array<string>")
+
+
+def _keyed(asked: DataFrame, by: str, words: DataFrame, keys) -> DataFrame:
+    """(q, id, gurmukhi, frequency) of words that have a question's key among theirs."""
+    there = words.select("id", "gurmukhi", "frequency", F.explode(keys).alias("key__"))
+    return asked.select("q", F.col(by).alias("key__")).join(there, "key__").drop("key__")
+
+
+def _like(asked: DataFrame, words: DataFrame, pattern) -> DataFrame:
+    held = asked.select("q", F.col("low").alias("asked")).join(words.select("id", "gurmukhi", "frequency", "low"), F.like(F.col("low"), pattern))
+    return held.drop("asked", "low")
+
+
+def _ranked(hits: DataFrame, limit: int, shares: int = 64) -> DataFrame:
+    order = ("tier", F.desc("frequency"), "id")
+    share = F.row_number().over(Window.partitionBy("q", F.pmod(F.xxhash64("id"), F.lit(shares))).orderBy(*order))
+    cut = hits.withColumn("rank", share).filter(F.col("rank") <= limit)
+    return cut.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*order))).filter(F.col("rank") <= limit)
 
 
 def browse(words: DataFrame, page: int = 1, size: int = 50, word: str = "gurmukhi") -> DataFrame:

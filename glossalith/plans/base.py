@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.script import LATIN, SPACE
+from ..functions.script import LATIN, SPACE, tokenize
 from ..operators.corpus import line_tokens, lines_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,7 +59,8 @@ CORPUS_SQL = f"""
 
 def spread(df: DataFrame, limit: int = 256 << 20) -> DataFrame:
     """A small input (below limit bytes, which may be one row group and so one task) dealt over all cores; a large one as
-    it is, since its files make enough tasks and its texts had better not be shuffled."""
+    it is, since its files make enough tasks and its texts had better not be shuffled. Only the plan differs: no query
+    over it depends on how rows are dealt."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < limit else df
 
@@ -73,16 +75,24 @@ def corpus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_lines(spark, sf_dir).select("doc_id", "source", "lang", "line_no", F.posexplode("tokens").alias("position", "word"))
 
 
-# ---- a vocabulary in another script: the documents' ASCII words, letter by letter ---------------------------------
+def corpus_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word: every token, without its place."""
+    return spread(table(spark, sf_dir, "documents").select("text")).select(F.explode(tokenize(F.col("text"), LATIN)).alias("word"))
+
+
+# ---- a vocabulary in another script: the documents' words, letter by letter, accents left out ---------------------------------
 
 LETTERS, SIGNS = "abcdefghijklmnopqrstuvwxyz", "ਾਬਚਦੇਫਗਹਿਜਕਲਮਨੋਪਖਰਸਤੁਵੰਣੀ਼"
+#: Composed letters that decompose to one of LETTERS, as Unicode has it.
+COMPOSED = {chr(i): base for i in range(0x80, 0x250) if (base := unicodedata.normalize("NFD", chr(i).lower())[0]) in LETTERS and chr(i) == chr(i).lower()}
+_BARE = f"regexp_replace(translate(lower(word), '{''.join(COMPOSED)}', '{''.join(COMPOSED.values())}'), '[^a-z]', ''"
 VOCABULARY_SQL = f"""{CORPUS_SQL.strip()},
-    vocabulary AS (SELECT translate(lower(word), '{LETTERS}', '{SIGNS}') AS gurmukhi, CAST(count(*) AS INTEGER) AS frequency FROM occ WHERE regexp_matches(word, '^[A-Za-z]+$') GROUP BY 1)
+    vocabulary AS (SELECT translate({_BARE}, 'g'), '{LETTERS}', '{SIGNS}') AS gurmukhi, CAST(count(*) AS INTEGER) AS frequency FROM occ WHERE {_BARE}, 'g') <> '' GROUP BY 1)
 """
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """gurmukhi, frequency."""
-    words = corpus_words(spark, sf_dir).filter(F.col("word").rlike("^[A-Za-z]+$"))
-    counted = words.groupBy(F.lower("word").alias("w")).agg(F.count(F.lit(1)).cast("int").alias("frequency"))
-    return counted.select(F.translate("w", LETTERS, SIGNS).alias("gurmukhi"), "frequency")  # one to one, so once a word is enough
+    counted = corpus_tokens(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("n"))  # a row a word from here on
+    spelt = counted.select(F.translate(F.expr(f"{_BARE})"), LETTERS, SIGNS).alias("gurmukhi"), "n").filter("gurmukhi <> ''")
+    return spelt.groupBy("gurmukhi").agg(F.sum("n").cast("int").alias("frequency"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.script import LATIN, tokenize
 from ..operators import corpus, ngrams
 from ..sources.workspace import Workspace
-from .base import CORPUS_SQL, corpus_lines, corpus_words, query, table
+from .base import CORPUS_SQL, corpus_lines, corpus_tokens, corpus_words, query, table
 
 
 @query(f"WITH {CORPUS_SQL} SELECT doc_id, line_no, len(tokens) AS n_tokens, array_to_string(tokens, ' ') AS joined FROM toks")
@@ -15,8 +15,6 @@ def tokenize_lines(spark, sf_dir):
     return corpus_lines(spark, sf_dir).select("doc_id", "line_no", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("joined"))
 
 
-
-
 def _bench_sql() -> str:
     from .base import TOKENS_SQL
 
@@ -29,9 +27,9 @@ def _bench_words(spark, sf_dir):
 
 @query(f"WITH {_bench_sql()}, words AS (SELECT word FROM bench UNION SELECT word FROM occ), n AS (SELECT word, CAST(count(*) AS INTEGER) AS n FROM occ GROUP BY 1) SELECT word, coalesce(n, 0) AS frequency FROM words LEFT JOIN n USING (word)")
 def word_frequency(spark, sf_dir):
-    occ = Workspace(spark, "occurrences").save(corpus_words(spark, sf_dir).select("word"), "words")  # used twice
-    words = _bench_words(spark, sf_dir).unionByName(occ).distinct()
-    return corpus.word_frequency(words, occ)
+    counts = Workspace(spark, "frequencies").save(corpus.word_counts(corpus_tokens(spark, sf_dir)), "counts")  # a row a word, read twice
+    words = _bench_words(spark, sf_dir).unionByName(counts.select("word")).distinct()
+    return corpus.with_counts(words, counts)
 
 
 @query(f"WITH {CORPUS_SQL} SELECT word, source, CAST(count(*) AS INTEGER) AS frequency FROM occ GROUP BY 1, 2")
@@ -77,13 +75,13 @@ def collocation_partners_top15(spark, sf_dir):
 
 
 @query(
-    f"""WITH {CORPUS_SQL}, o AS (SELECT doc_id, line_no, word, position * 3 + (position % 2) AS position FROM occ WHERE doc_id % 2 = 0)
+    f"""WITH {CORPUS_SQL}, o AS (SELECT doc_id, line_no, word, position * 3 + (position % 2) AS position FROM occ)
     SELECT least(a.word, b.word) AS a, greatest(a.word, b.word) AS b, count(*) AS n FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND b.position > a.position AND b.position - a.position <= 5
     GROUP BY 1, 2 HAVING count(*) >= 5"""
 )
 def band_pairs_with_gaps(spark, sf_dir):
-    """Stored positions with gaps: the window is in positions, not in places. Even documents are the corpus here."""
-    occ = corpus_words(spark, sf_dir).filter("doc_id % 2 = 0").select("doc_id", "line_no", "word", (F.col("position") * 3 + F.col("position") % 2).alias("position"))
+    """Stored positions with gaps: the window is in positions, not in places."""
+    occ = corpus_words(spark, sf_dir).select("doc_id", "line_no", "word", (F.col("position") * 3 + F.col("position") % 2).alias("position"))
     return ngrams.band_pairs(occ, 5, ("doc_id", "line_no"), "word").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5")
 
 
@@ -119,12 +117,12 @@ def occurrence_audit(spark, sf_dir):
 
 @query(f"WITH {_bench_sql()} SELECT word, word IN (SELECT word FROM occ) AS in_corpus FROM bench")
 def in_corpus_flip(spark, sf_dir):
-    return corpus.in_corpus(_bench_words(spark, sf_dir), corpus_words(spark, sf_dir))
+    return corpus.in_corpus(_bench_words(spark, sf_dir), corpus_tokens(spark, sf_dir))
 
 
 @query(f"WITH {CORPUS_SQL}, w AS (SELECT DISTINCT word FROM occ) SELECT word, row_number() OVER (ORDER BY word) AS word_id FROM w")
 def word_ids(spark, sf_dir):
-    return corpus.word_dimension(corpus_words(spark, sf_dir).select("word"))
+    return corpus.word_dimension(corpus_tokens(spark, sf_dir))
 
 
 @query(
@@ -163,8 +161,8 @@ def raag_backfill(spark, sf_dir):
 
 @query(
     """SELECT doc_id AS line_id, 'lang' AS source_code, trim(lang) AS body FROM documents WHERE trim(lang) <> '' UNION ALL SELECT doc_id, 'source', trim(source) FROM documents WHERE trim(source) <> ''
-    UNION ALL SELECT doc_id, 'head', trim(left(text, 20)) FROM documents WHERE trim(left(text, 20)) <> ''"""
+    UNION ALL SELECT doc_id, 'text', trim(text) FROM documents WHERE trim(text) <> ''"""
 )
 def translation_unpivot(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_id"), "lang", F.struct(F.col("source").alias("unicode")).alias("source"), F.left("text", F.lit(20)).alias("head"))
-    return corpus.translations(docs, {"lang": "lang", "source": "source", "head": "head"})
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_id"), "lang", F.struct(F.col("source").alias("unicode")).alias("source"), "text")
+    return corpus.translations(docs, {"lang": "lang", "source": "source", "text": "text"})

@@ -15,10 +15,10 @@ def def_source_counts(spark, sf_dir):
     return quality.per_source_counts(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey", "o_orderpriority")
 
 
-@query("SELECT n_name, count(c_custkey) AS n, count(DISTINCT c_mktsegment) AS distinct_n FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey AND c_acctbal > 9000 GROUP BY 1")
+@query("SELECT n_name, count(c_custkey) AS n, count(DISTINCT c_mktsegment) AS distinct_n FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
 def dict_source_counts(spark, sf_dir):
-    nation, rich = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer").filter("c_acctbal > 9000")
-    return quality.detail_counts(nation, rich, nation["n_nationkey"] == rich["c_nationkey"], ["n_name"], "c_custkey", "c_mktsegment")
+    nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    return quality.detail_counts(nation, customer, nation["n_nationkey"] == customer["c_nationkey"], ["n_name"], "c_custkey", "c_mktsegment")
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
@@ -60,12 +60,11 @@ def flag_heatmap(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_HEAT}, b AS (SELECT CAST(floor((ang - 1) / 10) AS INTEGER) AS bucket, sum(weight) AS w FROM heat WHERE ang <= 700 GROUP BY 1), f AS (SELECT CAST(r AS INTEGER) AS bucket, coalesce(w, 0) AS weight FROM range(143) t(r) LEFT JOIN b ON b.bucket = r)
+    f"""WITH {_HEAT}, b AS (SELECT CAST(floor((ang - 1) / 10) AS INTEGER) AS bucket, sum(weight) AS w FROM heat GROUP BY 1), f AS (SELECT CAST(r AS INTEGER) AS bucket, coalesce(w, 0) AS weight FROM range(143) t(r) LEFT JOIN b ON b.bucket = r)
     SELECT bucket, CAST(weight AS BIGINT) AS weight, round(weight / (SELECT greatest(max(weight), 1) FROM f), 6) AS ratio FROM f"""
 )
 def heatmap_buckets(spark, sf_dir):
-    """Pages up to 700 carry weight; the other buckets are zero-filled."""
-    return quality.heat_buckets(_heat(spark, sf_dir).filter("ang <= 700"))
+    return quality.heat_buckets(_heat(spark, sf_dir))
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (WHERE lang IS DISTINCT FROM 'en') AS stale FROM documents")
@@ -84,9 +83,9 @@ _HEALTH = """
     lines AS (SELECT o_orderkey AS id, CAST(o_custkey % 3 AS BIGINT) AS source_fk, o_orderkey % 1430 + 1 AS ang, o_custkey AS shabad_id FROM orders),
     words AS (SELECT p_partkey AS id, p_size % 2 = 0 AS in_corpus FROM part),
     occ AS (SELECT l_partkey AS word_id, l_orderkey + CASE WHEN l_linenumber = 7 THEN 100000000 ELSE 0 END AS line_id FROM lineitem),
-    defs AS (SELECT o_custkey AS word_id, CAST(o_orderkey % 6 AS BIGINT) AS dict_source_id FROM orders WHERE o_orderkey % 2 = 0),
-    grammar AS (SELECT l_partkey AS word_id, CASE WHEN l_returnflag = 'R' THEN 'imported' WHEN l_returnflag = 'A' THEN 'rule_derived' END AS provenance FROM lineitem WHERE l_linenumber = 1),
-    tr AS (SELECT l_orderkey AS line_id, l_shipmode_ AS source_code, CASE WHEN l_suppkey % 50 = 0 THEN '  ' ELSE 'x' END AS body FROM (SELECT *, l_linestatus AS l_shipmode_ FROM lineitem WHERE l_linenumber <= 2)),
+    defs AS (SELECT o_custkey AS word_id, CAST(o_orderkey % 6 AS BIGINT) AS dict_source_id FROM orders),
+    grammar AS (SELECT l_partkey AS word_id, CASE WHEN l_returnflag = 'R' THEN 'imported' WHEN l_returnflag = 'A' THEN 'rule_derived' END AS provenance FROM lineitem),
+    tr AS (SELECT l_orderkey AS line_id, l_shipmode_ AS source_code, CASE WHEN l_suppkey % 50 = 0 THEN '  ' ELSE 'x' END AS body FROM (SELECT *, l_linestatus AS l_shipmode_ FROM lineitem)),
     ds AS (SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS code FROM region),
     flags AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'closed' ELSE 'open' END AS status, event_type AS flag_type FROM events)
 """
@@ -129,9 +128,9 @@ def health_metrics(spark, sf_dir):
         lines=orders.select(c("o_orderkey").alias("id"), (c("o_custkey") % 3).alias("source_fk"), (c("o_orderkey") % 1430 + 1).alias("ang"), c("o_custkey").alias("shabad_id")),
         words=table(spark, sf_dir, "part").select(c("p_partkey").alias("id"), (c("p_size") % 2 == 0).alias("in_corpus")),
         occ=items.select(c("l_partkey").alias("word_id"), (c("l_orderkey") + F.when(c("l_linenumber") == 7, 100_000_000).otherwise(0)).alias("line_id")),
-        definitions=orders.filter("o_orderkey % 2 = 0").select(c("o_custkey").alias("word_id"), (c("o_orderkey") % 6).alias("dict_source_id")),
-        grammar=items.filter("l_linenumber = 1").select(c("l_partkey").alias("word_id"), provenance.alias("provenance")),
-        translations=items.filter("l_linenumber <= 2").select(c("l_orderkey").alias("line_id"), c("l_linestatus").alias("source_code"), F.when(c("l_suppkey") % 50 == 0, "  ").otherwise("x").alias("body")),
+        definitions=orders.select(c("o_custkey").alias("word_id"), (c("o_orderkey") % 6).alias("dict_source_id")),
+        grammar=items.select(c("l_partkey").alias("word_id"), provenance.alias("provenance")),
+        translations=items.select(c("l_orderkey").alias("line_id"), c("l_linestatus").alias("source_code"), F.when(c("l_suppkey") % 50 == 0, "  ").otherwise("x").alias("body")),
         dict_sources=table(spark, sf_dir, "region").select(c("r_regionkey").cast("bigint").alias("id"), c("r_name").alias("code")),
         flags=table(spark, sf_dir, "events").select(F.when(c("event_id") % 3 == 0, "closed").otherwise("open").alias("status"), c("event_type").alias("flag_type")),
     )

@@ -10,13 +10,10 @@ from ..operators import dictionary
 from ..sources import readers, sinks
 from .base import query, table
 
-_SENSES = "SELECT conv_id, turn, role, left(text, 3) AS meaning FROM conversations"
-
-
-@query(f"WITH s AS ({_SENSES}) SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) + 10 AS order_index FROM s WHERE role = 'user' AND conv_id % 2 = 0 UNION ALL SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) FROM s WHERE role = 'user' AND conv_id % 2 = 1")
+@query("SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) + CASE WHEN conv_id % 2 = 0 THEN 10 ELSE 0 END AS order_index FROM conversations")
 def sense_numbering(spark, sf_dir):
     """Numbers run on above those that even conversations have already."""
-    rows = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn")
     existing = rows.filter("conv_id % 2 = 0").select("conv_id", F.lit(10).alias("order_index")).distinct()
     return dictionary.number_above(rows, existing, "conv_id", ["turn"])
 
@@ -26,9 +23,9 @@ def keep_last(spark, sf_dir):
     return dictionary.keep_last(table(spark, sf_dir, "conversations"), ["conv_id", "role"], "turn").select("conv_id", "role", "turn", "text")
 
 
-@query(f"WITH s AS ({_SENSES}), f AS (SELECT conv_id, meaning, min(turn) AS turn FROM s GROUP BY 1, 2) SELECT conv_id, meaning, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS sense_number FROM f")
+@query("WITH f AS (SELECT conv_id, text AS meaning, min(turn) AS turn FROM conversations GROUP BY 1, 2) SELECT conv_id, meaning, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS sense_number FROM f")
 def distinct_meaning(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.left("text", F.lit(3)).alias("meaning"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("meaning"))
     return dictionary.distinct_senses(rows, "conv_id", "meaning", ["turn"])
 
 

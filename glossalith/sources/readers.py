@@ -27,6 +27,14 @@ def bani_verses(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("bani_id", "ord", F.col("v.verseId").alias("verse_id"), F.col("v.pageNo").alias("ang"), F.col("v.lineNo").alias("line_no")).filter("verse_id is not null")
 
 
+def shabad_verses(spark: SparkSession, path: str) -> DataFrame:
+    """Landed hymns (shabadInfo, verses) to (shabad_id, ord, verse_id, ang, line_no, gurmukhi); verses without an id are
+    skipped."""
+    schema = "shabadInfo struct<shabadId: bigint>, verses array<struct<verseId: bigint, pageNo: int, lineNo: int, verse: struct<unicode: string>>>"
+    rows = spark.read.schema(schema).json(path).select(F.col("shabadInfo.shabadId").alias("shabad_id"), F.posexplode("verses").alias("ord", "v"))
+    return rows.select("shabad_id", "ord", F.col("v.verseId").alias("verse_id"), F.col("v.pageNo").alias("ang"), F.col("v.lineNo").alias("line_no"), F.col("v.verse.unicode").alias("gurmukhi")).filter("verse_id is not null")
+
+
 def json_lines(spark: SparkSession, path: str, schema: str, keep_bad: bool = False) -> DataFrame:
     """JSON lines with a given schema. Blank lines are skipped; malformed ones go to _bad, dropped unless keep_bad."""
     rows = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
@@ -67,5 +75,5 @@ def unpivot_maps(docs: DataFrame, column: str, category: str = "category") -> Da
 
 def html_blocks(pages: DataFrame, html: str, marker: str) -> DataFrame:
     """A page's blocks that start at the marker, numbered from 0, without what stands before the first."""
-    cut = F.slice(F.split(html, marker, -1), 2, 1_000_000)
-    return pages.select("*", F.posexplode(cut).alias("block_no", "block"))
+    parts = F.split(html, marker, -1)
+    return pages.select("*", F.posexplode(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).alias("block_no", "block"))

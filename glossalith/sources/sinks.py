@@ -18,15 +18,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Writes df beside the table, then renames it into place; df may read the table itself."""
+def replace_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """Writes df beside the table, then swaps the two by renaming; df may read the table itself. The old table is removed
+    last: a crash in between leaves it, or both, under names that begin like the table's."""
     spark = df.sparkSession
-    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}"
-    df.write.parquet(beside)
+    beside, aside = (f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}.{kind}" for kind in ("new", "old"))
+    df.write.partitionBy(*(by or [])).parquet(beside)
     fs, target = _fs(spark, path)
-    if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(_fs(spark, beside)[1], target)
+    _, old = _fs(spark, aside)
+    if had := fs.exists(target):
+        fs.rename(target, old)
+    if not fs.rename(_fs(spark, beside)[1], target):
+        raise OSError(f"{beside} could not be renamed to {path}")
+    if had:
+        fs.delete(old, True)
 
 
 def merge_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.script import GURMUKHI, Script
 from ..operators.corpus import occurrences
-from ..sources.sinks import exists, replace_table
+from ..sources.sinks import replace_table
 
 LINES = "line_id bigint, source string, line string, at timestamp"
 
@@ -24,21 +24,25 @@ def windowed_counts(lines: DataFrame, window: str = "10 minutes", late: str = "1
 
 
 def append_occurrences(lines: DataFrame, out: str, checkpoint: str, script: Script = GURMUKHI) -> StreamingQuery:
-    """Writes occurrences of new files to out/occurrences and adds them to out/frequency. A batch's rows go to a folder
-    of its own number and counts remember the last batch applied, so a repeated batch changes nothing."""
+    """Writes occurrences of new files to out/occurrences and their counts to out/counts. A batch's rows go to folders of
+    its own number, so a repeated batch changes nothing and a batch costs no more than its rows."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = occurrences(batch, ("line_id", "source"), script)
-        rows.write.mode("overwrite").parquet(f"{out}/occurrences/batch={number}")
-        added = spark.read.parquet(f"{out}/occurrences/batch={number}").groupBy("word", "source").agg(F.count(F.lit(1)).alias("n"))
-        path = f"{out}/frequency"
-        if exists(spark, path):
-            old = spark.read.parquet(path)
-            last = old.agg(F.max("last_batch")).first()[0]
-            if last is not None and last >= number:
-                return
-            added = old.select("word", "source", F.col("frequency").alias("n")).unionByName(added)
-        replace_table(added.groupBy("word", "source").agg(F.sum("n").alias("frequency")).withColumn("last_batch", F.lit(number)), path)
+        occurrences(batch, ("line_id", "source"), script).write.mode("overwrite").parquet(f"{out}/occurrences/batch={number}")
+        rows = batch.sparkSession.read.parquet(f"{out}/occurrences/batch={number}")
+        rows.groupBy("word", "source").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{out}/counts/batch={number}")
 
     return lines.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def frequencies(spark: SparkSession, out: str) -> DataFrame:
+    """(word, source, frequency) over all batches so far."""
+    return spark.read.parquet(f"{out}/counts").groupBy("word", "source").agg(F.sum("n").alias("frequency"))
+
+
+def compact(spark: SparkSession, out: str) -> None:
+    """Joins the counts of all batches in the folder of the last one, while no stream runs. The stream goes on with the
+    next number. The folder is swapped as a whole, so no reader sees a batch twice."""
+    counts = spark.read.parquet(f"{out}/counts")
+    last = counts.agg(F.max("batch")).first()[0]
+    replace_table(counts.groupBy("word", "source").agg(F.sum("n").alias("n")).withColumn("batch", F.lit(last)), f"{out}/counts", ["batch"])

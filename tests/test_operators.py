@@ -76,6 +76,12 @@ def test_heat_counts_each_open_flag(spark):
     assert tuples(quality.heatmap(flags, occ, lines)) == [(3, 2)]
 
 
+def test_buckets_without_weight_are_zero(spark):
+    got = quality.heat_buckets(table(spark, [(3, 4), (25, 2), (99, 9)], "ang int, weight int"), last=40)
+    assert tuples(got) == [(0, 4, 1.0), (1, 0, 0.0), (2, 2, 0.5), (3, 0, 0.0)]
+    assert tuples(quality.heat_buckets(table(spark, [], "ang int, weight int"), last=20), "ratio") == [(0.0,), (0.0,)]
+
+
 def test_only_value_ignores_nulls(spark):
     rows = table(spark, [(1, "imported"), (1, None), (2, "imported"), (2, "scraped"), (3, None)], "k int, v string")
     assert tuples(quality.only_value(rows, "k", "v", "imported")) == [(1,)]
@@ -89,6 +95,30 @@ def test_search_tiers_and_wild_cards(spark):
     assert tuples(search.search(table(spark, [("%",), (" ",)], "q string"), words), "id", "match") == [(1, "contains"), (3, "contains")]
 
 
+def test_search_of_many_words_equals_a_plain_reading(spark):
+    import itertools
+
+    spelt = ["".join(x) for n in (1, 2, 3, 4) for x in itertools.product("abA", repeat=n)] + ["qzab", "qqZABz", "yyyyzab", "xzzz", "zzab"]
+    words = [(i, w, (i * 7) % 13, w.lower().replace("a", "")) for i, w in enumerate(spelt)]
+    asked = ["a", "b", "Ab", "bba", "aaaa", "abab", "c", "bb", " ba ", "zab", "zzz", "zabz", "yyyyzabz"]
+    for limit in (3, 20):
+        expected = []
+        for q in (x.strip() for x in asked):
+            fold = search_fold_of(spark, q)
+            tier = {i: 1 if w.lower().startswith(q.lower()) else 2 if fold and f.startswith(fold) else 3 if q.lower() in w.lower() else 9 for i, w, _, f in words}
+            best = min(tier.values())
+            hits = [(tier[i], -n, i) for i, _, n, _ in words if tier[i] < 3 or tier[i] == 3 == best]
+            expected += [(q, i) for _, _, i in sorted(hits)[:limit]]
+        got = search.search(table(spark, [(q,) for q in asked], "q string"), table(spark, words, "id int, gurmukhi string, frequency int, search_fold string"), limit=limit)
+        assert tuples(got, "q", "id") == sorted(expected, key=repr)
+
+
+def search_fold_of(spark, q):
+    from glossalith.functions.script import fold_key
+
+    return table(spark, [(q,)], "q string").select(fold_key(F.col("q"))).first()[0]
+
+
 def test_page_out_of_bounds_is_empty(spark):
     lines = table(spark, [(1, 1, 1, 5, "x", 0)], "id int, source_fk int, shabad_id int, ang int, gurmukhi string, line_no int")
     shabads = table(spark, [(1, "r", "w")], "id int, raag_english string, writer_english string")
@@ -167,6 +197,8 @@ def test_readers(spark, tmp_path):
     assert tuples(readers.corpus_pages(spark, str(tmp_path / "pages")), "verse_id", "gurmukhi", "translations.ms") == [(3, "x", "m")]
     (tmp_path / "bani.json").write_text(json.dumps({"baniInfo": {"baniID": 2}, "verses": [{"verse": {"verseId": 5, "pageNo": 1, "lineNo": 1}}, {"verse": {"pageNo": 1}}]}))
     assert tuples(readers.bani_verses(spark, str(tmp_path / "bani.json")), "bani_id", "verse_id") == [(2, 5)]
+    (tmp_path / "shabad.json").write_text(json.dumps({"shabadInfo": {"shabadId": 4}, "verses": [{"verseId": 7, "pageNo": 1, "lineNo": 2, "verse": {"unicode": "x"}}, {"pageNo": 1}]}))
+    assert tuples(readers.shabad_verses(spark, str(tmp_path / "shabad.json")), "shabad_id", "verse_id", "gurmukhi") == [(4, 7, "x")]
     (tmp_path / "rows.jsonl").write_text('{"a": 1}\n\nnot json\n{"a": 2}\n')
     assert tuples(readers.json_lines(spark, str(tmp_path / "rows.jsonl"), "a int")) == [(1,), (2,)]
     (tmp_path / "cache.jsonl").write_text('{"key": "a", "value": 1}\n{"key": "b", "value": null}\n{"key": "a", "value": 2}\n{"key": "c", "val')
@@ -208,7 +240,8 @@ def test_stream_counts_once(spark, tmp_path):
         table(spark, [(k, "s", "ab cd ab")], "line_id bigint, source string, line string").withColumn("at", F.to_timestamp(F.lit("2024-01-01"))).coalesce(1).write.mode("append").parquet(str(inbox))
         query = stream.append_occurrences(stream.line_stream(spark, str(inbox)), out, str(tmp_path / "checkpoint"), LATIN)
         query.awaitTermination()
-    assert tuples(spark.read.parquet(f"{out}/frequency"), "word", "frequency") == [("ab", 4), ("cd", 2)]
+        stream.compact(spark, out)
+    assert tuples(stream.frequencies(spark, out), "word", "frequency") == [("ab", 4), ("cd", 2)]
     assert spark.read.parquet(f"{out}/occurrences").count() == 6
     counts = stream.windowed_counts(stream.line_stream(spark, str(inbox)), script=LATIN)
     assert counts.isStreaming
