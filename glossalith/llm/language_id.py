@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +12,11 @@ from pyspark.sql import functions as F
 from .common import rename_free, utf8
 
 BUCKETS = 4096
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: bytes) -> bool:
+    """Whether any character is of a letter category (Lu, Ll, Lt, Lm, Lo); marks like ² or ½ are numbers."""
+    return any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
 def ngram_vector(text: bytes):
@@ -42,7 +45,8 @@ def codewords(n: int, bits: int = 31, seed: int = 7):
     random, best = np.random.Generator(np.random.PCG64(seed)), None
     for _ in range(300):
         code = random.choice([-1, 1], (n, max(bits, int(10 * np.log2(n)))))
-        least = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i)) if n <= 64 else int(min((code[:1] != code[1:]).sum(1)))
+        # words of -1 and 1 differ in (bits - product) / 2 places
+        least = int((code.shape[1] - np.triu(code @ code.T, 1)[np.triu_indices(n, 1)].max()) // 2)
         if (np.abs(code.sum(0)) < n).all() and (best is None or least > best[0]):
             best = (least, code)
     return best[1]
@@ -79,7 +83,9 @@ def _vectors(batches: Iterator) -> Iterator:
 
 def train(docs: DataFrame, train_filter=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 3000, rounds: int = 150) -> LanguageModel | None:
     """Fits one binary classifier per bit of the code on about max_rows documents, spread evenly over languages and
-    chosen by a hash of their ids. Counts of languages are from all rows. None if no language is known."""
+    chosen by a hash of id and text, so that no id that repeats fills the sample. Counts of languages are from all rows.
+    Rows with a null language or text teach nothing; rows that repeat as a whole are drawn together, and count as often
+    as they stand. None if no language is known, as of an empty table. Other columns are not read."""
     import numpy as np
 
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -89,7 +95,7 @@ def train(docs: DataFrame, train_filter=None, id_col: str = "doc_id", text_col:
         return None
     languages, each = sorted(sizes), max_rows / len(sizes)
     share = F.coalesce(*(F.when(F.col(lang_col) == k, F.lit(min(1.0, each / sizes[k]))) for k in languages))
-    drawn = known.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(1 << 30)) < share * (1 << 30))
+    drawn = known.filter(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(9)), F.lit(1 << 30)) < share * (1 << 30))
     rows = drawn.select(F.col(lang_col).alias("lang"), utf8(text_col).alias("text")).mapInArrow(_vectors, "lang string, v binary").collect()
     rows.sort(key=lambda r: (r[0], bytes(r[1])))
     if not rows:
@@ -115,7 +121,9 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
     """One row per input row: id, extra columns, lang_pred, score, ambiguous.
 
     ambiguous: the two best languages' probabilities differ by less than ambiguous_below. A null text, and one without
-    a letter, is `und` with score 0 and not ambiguous; so is every text when no language is known. Whole texts count.
+    a letter, is `und` with score 0 and not ambiguous; so is every text when no language is known. Whole texts count,
+    however long. Of languages that tie the first by code point is taken, and the text is ambiguous. Repeated rows are
+    predicted alike, each with a row of its own; an empty table gives an empty result; other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     extra = extra or {}
@@ -128,7 +136,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
         for batch in filter(len, batches):
             texts = [t.as_buffer().to_pybytes() for t in batch.column(0)]
             lang, score, doubt = ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
-            at = [i for i, t in enumerate(texts) if _LETTER.search(t.decode("utf-8", "replace"))] if own else []
+            at = [i for i, t in enumerate(texts) if has_letter(t)] if own else []
             for k in range(0, len(at), 256):
                 part = at[k : k + 256]
                 best, p, margin = own.predict(np.stack([ngram_vector(texts[i]) for i in part]))
