@@ -12,8 +12,8 @@ from .common import Workspace, bucket_of, table
 # The rules of op4 as (host, path, verdict).
 URL_RULES = [("com", "en/", "block"), ("example.com", "en/7", "allow"), ("net", "de/", "allow"), ("example.net", "de/8", "block"), ("org", "es/", "block")]
 END_ID = 2
-#: Schemas of the calls that conversations hold.
-TURN = {"text": ("string", True), "turn": ("integer", True)}
+#: Schemas of the calls that conversations hold: a call's text is neither empty nor long, and comes early.
+TURN = {"text": ("string", True, {"minLength": 1, "maxLength": 600}), "turn": ("integer", True, {"minimum": 0, "maximum": 8})}
 CALL_SCHEMAS = {"user": TURN, "system": TURN, "none": TURN}
 
 
@@ -54,7 +54,8 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge_urls
 
-    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    # trust should not go far along domains: half of it is left after a step
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, damping=0.5)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +152,7 @@ ORACLES: dict[str, str] = {
         gaps AS (SELECT *, CASE WHEN turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) <= 2 THEN 0 ELSE 1 END AS fresh FROM calls),
         chains AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) AS chain FROM gaps),
         placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, chain ORDER BY turn) - 1 AS depth FROM chains)
-        SELECT p.conv_id, p.id AS call_id, p.role AS name, CASE WHEN r.id IS NULL THEN 'no_result' ELSE 'linked' END AS status, p.depth,
+        SELECT p.conv_id, p.id AS call_id, p.role AS name, CASE WHEN r.id IS NULL THEN 'no_result' WHEN p.text IS NULL OR length(p.text) NOT BETWEEN 1 AND 600 OR p.turn NOT BETWEEN 0 AND 8 THEN 'invalid_arguments' ELSE 'linked' END AS status, p.depth,
                sha256(json_object('arguments', json_object('text', p.text, 'turn', p.turn), 'id', p.id, 'name', p.role, 'result', r.text)::VARCHAR) AS record_sha256
         FROM placed p LEFT JOIN results r ON p.id = r.id
         UNION ALL

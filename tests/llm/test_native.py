@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glossalith.llm.common import Workspace
 from glossalith.llm.queries import CALL_SCHEMAS, ORACLES, URL_RULES, op4_url_filter, op8_tool_calls, op9_secrets
 from glossalith.llm.secrets import candidates, scan_secrets
-from glossalith.llm.tool_calls import canonical_json, conversation_calls, link_tool_calls
+from glossalith.llm.tool_calls import canonical_json, conversation_calls, link_tool_calls, valid_arguments
 from glossalith.llm.url_filter import host_and_path, judge_urls, propagate
 
 from ..compare import connect, same
@@ -76,6 +76,56 @@ def test_distrust_reaches_hosts_that_link_to_blocked_ones(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
 
 
+def domain_edges(hosts):
+    out = set()
+    for h in hosts:
+        labels = re.sub(":[0-9]*$", "", h).split(".")
+        if len(labels) > 2 and not re.fullmatch(r"[0-9.:\[\]a-f]*", h):
+            chain = [h, *(".".join(labels[i:]) for i in range(1, len(labels) - 1))]
+            out |= set(zip(chain, chain[1:])) | set(zip(chain[1:], chain))
+    return out
+
+
+def test_verdicts_without_a_rule_equal_dense_pagerank(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    hosts = {r.page_id: parts(r.url)[0] for r in pages}
+    weights, edges = {}, {}
+    for r in pages:
+        verdict = rule_of(*parts(r.url))[1]
+        trust, distrust = weights.get(hosts[r.page_id], (0, 0))
+        weights[hosts[r.page_id]] = (trust + (verdict == "allow"), distrust + (verdict == "block"))
+        for to in {t.lower() for t in re.findall(r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/"'?#\s>]+)""", r.html or "")} - {hosts[r.page_id]}:
+            edges[hosts[r.page_id], to] = edges.get((hosts[r.page_id], to), 0) + 1
+    for e in domain_edges({*hosts.values(), *(t for _, t in edges)}):
+        edges[e] = edges.get(e, 0) + 1
+    flat = [(a, b, n) for (a, b), n in edges.items()]
+    trust = brute_rank(flat, {h: t for h, (t, _) in weights.items() if t}, 60, 0.5)
+    distrust = brute_rank([(b, a, n) for a, b, n in flat], {h: d for h, (_, d) in weights.items() if d}, 60, 0.5)
+    got, blocked = op4_url_filter(spark, sf_dir).collect(), 0
+    for r in got:
+        if r.rule is None and r.host:
+            t, d = trust.get(r.host, 0), distrust.get(r.host, 0)
+            assert r.trust == pytest.approx(t, rel=1e-4, abs=1e-9) and r.distrust == pytest.approx(d, rel=1e-4, abs=1e-9)
+            assert r.verdict == ("block" if t + d and d / (t + d) > 0.5 else "allow") or abs(d / (t + d) - 0.5) < 1e-4
+            blocked += r.verdict == "block"
+    unruled = [r for r in got if r.rule is None]
+    assert edges and 0 < blocked < len(unruled) and any(r.trust and not any(weights[r.host]) for r in unruled)
+
+
+@pytest.mark.parametrize("rows", [10_000, 2])
+def test_domains_and_hubs(spark, monkeypatch, rows):
+    """Names, ports and addresses; a hub's links in several tasks give the same."""
+    from glossalith.llm import url_filter
+
+    monkeypatch.setattr(url_filter, "HUB_ROWS", rows)
+    hosts = ["a.b.c.org", "b.c.org", "c.org:80", "x.c.org:8080", "10.0.0.1", "[::1]", "plain", "d.c.org", "e.c.org", "d.c.org"]
+    got = url_filter.domain_links(spark.createDataFrame([(h,) for h in hosts], "host string")).collect()
+    assert {(r.src, r.dst) for r in got} == domain_edges(hosts) and len(got) == len(domain_edges(hosts)) and {r.n for r in got} == {1}
+    pages = [(k, f"http://{h}/es/", None) for k, h in enumerate(hosts)] + [(50, "http://f.c.org/", ""), (50, "http://f.c.org/", ""), (51, "http://lone.net/", "x" * 200_000)]
+    verdicts = {(r.page_id, r.verdict) for r in judge_urls(spark.createDataFrame(pages, "page_id bigint, url string, html string"), [("d.c.org", "es/", "block"), ("d.c.org", "es/", "allow")]).collect()}
+    assert {(7, "block"), (50, "block"), (51, "allow")} <= verdicts
+
+
 def test_verdicts_dont_depend_on_the_size_of_the_masses(spark):
     """Three fan-ins of 1,000 hosts: the last ones have less than 1e-9 of all distrust, and no trust."""
     link = lambda host: f'<a href="http://{host}/">x</a>'
@@ -106,6 +156,7 @@ def test_canonical_json(spark):
     assert got[0] == '{"a":{"c":"é\\n","d":[1,2.5]},"b":1}' and got[1:4] == [None, None, "[]"]
 
 
+CALLS = "group_id string, call_id string, seq int, name string, arguments string, parents array<string>"
 SCHEMA = {"add": {"x": ("integer", True), "y": ("number", True), "note": ("string", False), "deep": ("object", False)}}
 
 
@@ -115,7 +166,8 @@ def test_linking_statuses(spark):
         ("g", "6", 5, "add", '{"x": 1, "y": 1}', None), ("g", "1", 6, "add", '{"x": 9, "y": 9}', None), ("g", "a", 7, "add", '{"x": 1, "y": 1}', "b"), ("g", "b", 8, "add", '{"x": 1, "y": 1}', "a"), (None, None, None, None, None, None), ("h", "7", 0, "add", '{"y": 1}', None), ("h", "7", 0, "add", '{"y": 1}', None),
     ]
     results = [("g", k, 1, f"r{k}") for k in ("1", "2", "3", "4", "5", "a", "b", "7")] + [("g", "1", 9, "late"), ("g", "zz", 0, None), (None, None, 0, "x" * 10_000)]
-    got = link_tool_calls(spark.createDataFrame(calls, "group_id string, call_id string, seq int, name string, arguments string, parent string"), spark.createDataFrame(results, "group_id string, call_id string, seq int, content string"), SCHEMA)
+    calls = [(*c[:5], [c[5]] if c[5] else None) for c in calls]
+    got = link_tool_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, "group_id string, call_id string, seq int, content string"), SCHEMA)
     seen = sorted(((r.call_id, r.status, r.depth) for r in got.collect()), key=repr)
     assert seen == sorted([("1", "linked", 0), ("2", "linked", 1), ("3", "invalid_arguments", 2), ("4", "invalid_arguments", 2), ("5", "invalid_arguments", 0), ("6", "no_result", 0), ("1", "duplicate_call", 0), ("a", "cycle", None), ("b", "cycle", None), (None, "no_result", None), ("7", "invalid_arguments", 0), ("7", "duplicate_call", 0), ("zz", "orphan_result", None), (None, "orphan_result", None)], key=repr)
     record = json.loads(got.filter("call_id = '2' and status = 'linked'").first().record)
@@ -124,11 +176,72 @@ def test_linking_statuses(spark):
 
 def test_long_chains_are_ordered(spark):
     n = 500
-    calls = spark.createDataFrame([("g", str(i), i, "add", '{"x":1,"y":1}', str(i - 1) if i else None) for i in range(n)], "group_id string, call_id string, seq int, name string, arguments string, parent string")
+    calls = spark.createDataFrame([("g", str(i), i, "add", '{"x":1,"y":1}', [str(i - 1)] if i else None) for i in range(n)], CALLS)
     got = link_tool_calls(calls, spark.createDataFrame([], "group_id string, call_id string, seq int, content string"), SCHEMA)
     assert {(r.call_id, r.depth) for r in got.collect()} == {(str(i), i) for i in range(n)}
 
 
+def longest_ways(waits):
+    """Depth by plain recursion; None in a cycle and behind one."""
+    import functools
+    import sys
+
+    sys.setrecursionlimit(10_000)
+    on_way = set()
+
+    @functools.cache
+    def depth(c):
+        if c in on_way:
+            raise RecursionError
+        on_way.add(c)
+        try:
+            return max((1 + depth(p) for p in waits[c] if p in waits), default=0)
+        finally:
+            on_way.discard(c)
+
+    out = {}
+    for c in waits:
+        try:
+            out[c] = depth(c)
+        except RecursionError:
+            out[c] = None
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_calls_with_several_parents_are_ordered(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    waits = {str(i): sorted({str(r.randrange(max(0, i - 9), i)) for _ in range(r.choice([0, 1, 1, 1, 2, 3]))}) if i else [] for i in range(150)}
+    waits |= {"200": ["201"], "201": ["202", "5"], "202": ["200"], "203": ["202", "7"], "204": ["203"], "205": ["205"], "206": ["nowhere"], "207": ["nowhere", "3", "4", "4"]}
+    calls = spark.createDataFrame([("g", c, 0, "add", '{"x":1,"y":1}', p) for c, p in waits.items()], CALLS).withColumns({"depth": F.lit("x"), "place": F.lit(1), "status": F.lit(None)})
+    results = spark.createDataFrame([("g", "3", 0, "r")], "group_id string, call_id string, seq int, content string").withColumn("answer", F.lit(1))
+    got = link_tool_calls(calls, results, SCHEMA)
+    assert {r.call_id: r.depth for r in got.collect()} == longest_ways(waits) and "SortMergeJoin" not in got.select("call_id", "status")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_limits_of_a_schema(spark):
+    schema = {"f": {"n": ("integer", True, {"minimum": 0, "maximum": 9}), "s": ("string", False, {"minLength": 2, "maxLength": 3}), "e": ("string", False, {"enum": ["a", "b"]})}}
+    rows = ['{"n": 0}', '{"n": 9, "s": "ab"}', '{"n": 10}', '{"n": -1}', '{"n": 1, "s": "é"}', '{"n": 1, "s": "abcd"}', '{"n": 1, "e": "b"}', '{"n": 1, "e": "c"}', '{"s": "ab"}', '{"n": 1.5}', "[]", None]
+    got = spark.createDataFrame(list(enumerate(rows)), "i int, x string").orderBy("i").select(valid_arguments(F.lit("f"), F.col("x"), schema)).collect()
+    assert [r[0] for r in got] == [True, True, False, False, False, False, True, False, False, False, False, False]
+    with pytest.raises(ValueError):
+        valid_arguments(F.lit("f"), F.col("x"), {"f": {"n": ("integer", True, {"odd": 1})}})
+
+
+def test_calls_are_read_from_json_in_texts(spark):
+    """Calls as a model writes them, with results as a tool returns them: failures of every kind."""
+    said = {"tool_calls": [{"id": "c1", "name": "add", "arguments": {"y": 2.5, "x": 1}}, {"id": "c2", "function": {"name": "add", "arguments": '{"x": "1", "y": 2}'}, "after": ["c1"]}, {"id": "c3", "name": "add", "arguments": "{oops", "after": ["c1", "c2"]}, {"id": "c4", "name": "sub", "arguments": {}, "after": ["c5"]}, {"id": "c5", "name": "add", "arguments": {}, "after": ["c4"]}, {"id": None, "name": "add"}]}
+    answer = lambda i, x: json.dumps({"tool_call_id": i, "content": x})
+    turns = [(1, 0, "user", "talk"), (1, 1, "assistant", json.dumps(said)), (1, 2, "tool", answer("c1", "3.5")), (1, 3, "tool", answer("c2", None)), (1, 4, "tool", answer("c3", "z")), (1, 5, "tool", answer("c9", "late")), (1, 6, "tool", '{"other": 1}'), (1, 7, "tool", "{broken"), (1, 8, "assistant", json.dumps({"tool_calls": [{"id": "c1", "name": "add", "arguments": {}}]}))]
+    calls, results = conversation_calls(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"))
+    rows = {(r.call_id, r.status): r for r in link_tool_calls(calls, results, SCHEMA | CALL_SCHEMAS).collect()}
+    assert {(k, s): r.depth for (k, s), r in rows.items()} == {("1:0", "no_result"): 0, ("1:6", "no_result"): 0, ("1:7", "no_result"): 1, ("1:c1", "linked"): 0, ("1:c2", "invalid_arguments"): 1, ("1:c3", "invalid_arguments"): 2, ("1:c4", "cycle"): None, ("1:c5", "cycle"): None, (None, "no_result"): None, ("1:c1", "duplicate_call"): 0, ("1:c9", "orphan_result"): None}
+    assert rows["1:c1", "linked"].record == '{"arguments":{"x":1,"y":2.5},"id":"1:c1","name":"add","result":"3.5"}'
+    assert json.loads(rows["1:c3", "invalid_arguments"].record)["arguments"] == "{oops"
+
+
 def test_conversations_with_odd_rows(spark):
     turns = spark.createDataFrame([(1, 0, "user", "a", 0), (1, 0, "user", "b", 0), (1, 1, "assistant", None, 0), (1, 5, None, "c", 0), (None, 1, "user", "d", 0), (2, None, "assistant", "e", 0), (2, 3, "assistant", "", 0)], "conv_id bigint, turn bigint, role string, text string, depth int")
     calls, results = conversation_calls(turns)
