@@ -19,7 +19,7 @@ OFFER_ROUNDS = 4
 #: Bits of an odd sketch; about six times the samples, so parities rarely cancel.
 BITS = 512
 #: Bits of the odd sketch of a whole set, and the most shingles that one takes; of larger sets a half, a quarter, ... by hash.
-WIDE, FULL = 2048, 2048
+WIDE, FULL = 1024, 1024
 #: Rows of a bucket that are compared in one task.
 CHUNK = 1024
 
@@ -184,12 +184,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
     ws = Workspace(docs.sparkSession, "odd-sketch")
     found = _components(ws.save(rows, "rows"), ws, percent, words_per_shingle)
-    ws.drop("rows")
     return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept", "representative")
 
 
 def _components(source: DataFrame, ws: Workspace, percent: int, words_per_shingle: int) -> DataFrame:
-    """source: a written table (id, text, place) -> (id, place, n_shingles, component_id, kept, representative)."""
+    """source: a written table (id, text, place) -> (id, place, n_shingles, component_id, kept, representative). Texts are
+    read from it until those with candidates are written; a table "rows" of ws is dropped then."""
     spark = source.sparkSession
     signed = ws.save(source.select("id", F.spark_partition_id().alias("run"), "place", "text").mapInArrow(_sign(words_per_shingle), SIGNED), "signed")
 
@@ -214,6 +214,7 @@ def _components(source: DataFrame, ws: Workspace, percent: int, words_per_shingl
 
     comps = ws.save(members.select("node").distinct().withColumn("comp", F.col("node")), "comps-0")
     texts = ws.save(source.select(F.col("place").alias("node"), "text").join(comps, "node", "left_semi"), "texts")
+    ws.drop("rows")
     tried = spark.createDataFrame([], "a bigint, b bigint")
     for k in range(1, OFFER_ROUNDS + 1):
         asked = ws.save(_offers(members.join(comps, "node"), tried, percent, floor), f"asked-{k}")
@@ -222,7 +223,7 @@ def _components(source: DataFrame, ws: Workspace, percent: int, words_per_shingl
             break
         comps, tried = _merged(comps, found, ws, k), tried.unionByName(asked)
 
-    across = ws.save(_across(members.join(comps, "node"), sketches, texts, ws, percent, floor, words_per_shingle), "across")
+    across = ws.save(_across(members.join(comps, "node"), texts, ws, percent, words_per_shingle), "across")
     known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = ws.save(_verified(across.join(known, ["a", "b"], "left_anti"), texts, percent, words_per_shingle), "rest")
     if rest.limit(1).count():
@@ -274,60 +275,53 @@ def _offers(placed: DataFrame, tried: DataFrame, percent: int, floor: float) ->
     return both.groupBy("comp").agg(F.max("o").alias("o")).select("o.a", "o.b").distinct()
 
 
-def wide_sketches(texts: DataFrame, words_per_shingle: int) -> DataFrame:
-    """(node, level, wide, half): odd sketches of whole sets. level l: of a set of n shingles those are folded whose hash
-    ends in l zero bits, with n / 2**l at most FULL; half is the sketch of the next level."""
+def wide_sketches(texts: DataFrame, words_per_shingle: int, percent: int) -> DataFrame:
+    """(node, n_shingles, level, bits): odd sketches of whole sets. At level l those shingles are folded whose hash ends
+    in l zero bits. A set has a row for the first level that leaves FULL of its shingles at most, and one for the next
+    level where a linked set may be that much larger, so linked sets have a level in common."""
 
     def folded(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        def fold(s):
-            return np.packbits((np.bincount((s >> np.uint64(40)).astype(np.int64) % WIDE, minlength=WIDE) & 1).astype(np.uint8)).view(np.int64)
-
         for batch in filter(len, batches):
-            levels, wide, half = [], [], []
-            for text in batch.column(1):
+            out = []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingle_set(text.as_buffer().to_pybytes(), words_per_shingle)
-                level = max(0, math.ceil(math.log2(max(1, len(s)) / FULL)))
-                s = s[s & np.uint64((1 << level) - 1) == 0]
-                levels.append(level)
-                wide.append(fold(s))
-                half.append(fold(s[s & np.uint64((1 << level + 1) - 1) == 0]))
-            arrays = [pa.ListArray.from_arrays(pa.array(np.arange(len(levels) + 1, dtype=np.int32) * (WIDE // 64)), pa.array(np.concatenate(x))) for x in (wide, half)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(levels, pa.int32()), *arrays], names=["node", "level", "wide", "half"])
+                levels = sorted({max(0, math.ceil(math.log2(max(1, n) / FULL))) for n in (len(s), len(s) * 100 / percent)})
+                for level in levels:
+                    at = (s[s & np.uint64((1 << level) - 1) == 0] >> np.uint64(40)).astype(np.int64) % WIDE
+                    out.append((node, len(s), level, np.packbits((np.bincount(at, minlength=WIDE) & 1).astype(np.uint8)).view(np.int64)))
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * (WIDE // 64)), pa.array(np.concatenate([r[3] for r in out])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int32()), bits], names=["node", "n_shingles", "level", "bits"])
 
-    return texts.select("node", "text").mapInArrow(folded, "node bigint, level int, wide array<bigint>, half array<bigint>")
+    return texts.select("node", "text").mapInArrow(folded, "node bigint, n_shingles bigint, level int, bits array<bigint>")
 
 
 def may_be_linked(x: str, y: str, percent: int) -> Column:
-    """False only for pairs of rows x, y (n_shingles, level, wide, half) that are not linked: linked sets of a and b
-    shingles differ in at most (a + b) (100 - percent) / (100 + percent), and differing bits are no more than these."""
-    a, b = (lambda c: F.col(f"{x}.{c}")), (lambda c: F.col(f"{y}.{c}"))
-    level = F.greatest(a("level"), b("level"))
-    # linked sets are of similar sizes, so their levels differ by one at most
-    at = lambda r: F.when(r("level") == level, r("wide")).otherwise(r("half"))
-    differ = F.aggregate(F.zip_with(at(a), at(b), lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda n, k: n + k)
-    most = (a("n_shingles") + b("n_shingles")) * F.lit((100 - percent) / (100 + percent)) / F.pow(F.lit(2.0), level)
-    sizes = F.least(a("n_shingles"), b("n_shingles")) * 100 >= F.greatest(a("n_shingles"), b("n_shingles")) * percent
-    return sizes & (F.abs(a("level") - b("level")) <= 1) & (differ <= most + F.when(level > 0, 5 * F.sqrt(most) + 5).otherwise(1e-6))
-
-
-def _across(placed: DataFrame, sketches: DataFrame, texts: DataFrame, ws: Workspace, percent: int, floor: float, words_per_shingle: int) -> DataFrame:
+    """False only for pairs of rows x, y (n_shingles, level, bits) of one level that are not linked: linked sets of a and
+    b shingles differ in at most (a + b) (100 - percent) / (100 + percent), and differing bits are no more than these."""
+    a, b = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
+    differ = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(WIDE // 64)), F.lit(0))
+    level = F.col(f"{x}.level")
+    most = (a + b) * F.lit((100 - percent) / (100 + percent)) / F.pow(F.lit(2.0), level)
+    sizes = F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    return sizes & (differ <= most + F.when(level > 0, 5 * F.sqrt(most) + 5).otherwise(1e-6))
+
+
+def _across(placed: DataFrame, texts: DataFrame, ws: Workspace, percent: int, words_per_shingle: int) -> DataFrame:
     """(a, b): pairs of different components that share a bucket and may be linked, each once."""
     sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     split = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("major"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
     split = split.select("key", F.col("major.comp").alias("major"), (F.col("n") - F.col("major.n")).alias("minor"))
-    open_rows = ws.save(placed.join(split, "key").select("key", "node", "comp", "major", "minor", "odd"), "open")
-    wide = ws.save(wide_sketches(texts.join(open_rows.select("node").distinct(), "node", "left_semi"), words_per_shingle), "wide")
-    rows = open_rows.join(wide.join(sketches.select("node", "n_shingles", "bands"), "node"), "node").withColumn("salts", _salts("minor"))
+    open_rows = ws.save(placed.select("key", "node", "comp").join(split, "key"), "open")
+    wide = ws.save(wide_sketches(texts.join(open_rows.select("node").distinct(), "node", "left_semi"), words_per_shingle, percent), "wide")
+    rows = open_rows.join(wide, "node").withColumn("salts", _salts("minor"))
     left = rows.filter("comp <> major").withColumn("salt", _salt(F.col("salts"), 2)).alias("l")
     right = rows.withColumn("salt", _every(F.col("salts"))).alias("r")
     apart = (F.col("l.comp") != F.col("r.comp")) & ((F.col("r.comp") == F.col("r.major")) | (F.col("l.node") < F.col("r.node")))
-    near = (odd_similarity(F.col("l.odd"), F.col("r.odd")) >= floor) & may_be_linked("l", "r", percent)
-    # a pair is taken in the first of the buckets that it shares
-    here = F.array_position(F.zip_with("l.bands", "r.bands", lambda x, y: x == y), True) == F.array_position("l.bands", F.col("l.key"))
-    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.salt") == F.col("r.salt")) & apart & near & here)
+    same = (F.col("l.key") == F.col("r.key")) & (F.col("l.salt") == F.col("r.salt")) & (F.col("l.level") == F.col("r.level"))
+    met = left.join(right, same & apart & may_be_linked("l", "r", percent))
     return met.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
 
