@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import phonetics, text
 from ..functions.grammar_notes import grammar_facts_column
+from ..functions.legend import Legend, nfd_text
+from ..functions.script import GURMUKHI, nfd
 from ..functions.sense_parser import parsed_sense
 
 
@@ -129,8 +131,6 @@ def mine_grammar(commentaries: DataFrame, words: DataFrame) -> tuple[DataFrame,
 
 def existing_targets(definitions: DataFrame, words: DataFrame, parsed: str = "parsed") -> DataFrame:
     """Distinct cross-reference targets that are words, compared in decomposed form."""
-    from ..functions.script import nfd
-
     targets = definitions.select(F.explode(f"{parsed}.xrefs.target").alias("target")).select(nfd(F.col("target")).alias("target")).distinct()
     return targets.join(words.select(nfd(F.col("gurmukhi")).alias("target")).distinct(), "target", "left_semi")
 
@@ -153,8 +153,6 @@ def merge_spelling(words: DataFrame, dependents: DataFrame, decisions: DataFrame
 
 def spelling_check(rows: DataFrame, printed: str = "printed", candidates: str = "candidates") -> DataFrame:
     """Printed spellings against reverse transliterations (array, best first): exact, candidate or divergent, with counts."""
-    from ..functions.script import nfd
-
     same = lambda c: nfd(c) == nfd(F.col(printed))
     verdict = F.when(same(F.get(candidates, F.lit(0))), "exact").when(F.exists(candidates, same), "candidate").otherwise("divergent")
     return rows.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
@@ -178,10 +176,55 @@ def parser_coverage(parsed: DataFrame, column: str = "parsed") -> DataFrame:
     return parsed.select(F.explode(F.concat(fixed, languages, kinds)).alias("x")).groupBy("x.metric", "x.key").agg(F.sum("x.n").alias("n"))
 
 
-def shorthand_report(senses: DataFrame, column: Column | str, sources: dict[str, str], bhagats: list[str], top: int = 20) -> DataFrame:
-    """(kind, key, n): kinds of bracketed texts and the most frequent unrecognised ones."""
-    bodies = senses.select(F.explode(F.regexp_extract_all(column, F.lit(r"\(([^()]{1,70})\)"), F.lit(1))).alias("body"))
-    kinds = bodies.withColumn("kind", text.classify_citation(F.col("body"), sources, bhagats))
+def shorthand_report(senses: DataFrame, column: str, legend: Legend, top: int = 20) -> DataFrame:
+    """(kind, key, n) over the senses that have text: kinds of bracketed texts and the `top` most frequent unrecognised
+    ones; how senses begin (head: xref, language, pos or prose); markers of speech and of language by place (pos_marker,
+    language_head, language_script); words with a full stop at a head that the legend doesn't know (unknown_head, `top`);
+    counts of signs (sign). One pass gathers all but the bracketed texts."""
+    sources = {token: group for token, (group, _) in legend.works.items() if " " not in token} | dict.fromkeys(legend.raags, "sggs_raags")
+    told = senses.select(nfd(F.col(column)).alias("t")).filter("t <> ''")
+    bodies = told.select(F.explode(F.regexp_extract_all("t", F.lit(r"\(([^()]{1,70})\)"), F.lit(1))).alias("body"))
+    kinds = bodies.withColumn("kind", text.classify_citation(F.col("body"), sources, list(legend.bhagats)))
     tally = kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select("kind", F.lit("").alias("key"), "n")
-    unknown = kinds.filter("kind = 'unrecognized'").groupBy("body").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "body").limit(top)
-    return tally.unionByName(unknown.select(F.lit("unrecognized_body").alias("kind"), F.col("body").alias("key"), "n"))
+    unknown = _most(kinds.filter("kind = 'unrecognized'").select("body"), "body", "unrecognized_body", top)
+
+    gur = GURMUKHI.block
+    one = lambda kind, key, n: F.struct(F.lit(kind).alias("kind"), (F.lit(key) if isinstance(key, str) else key).alias("key"), n.cast("long").alias("n"))
+    count = lambda pattern: F.regexp_count("t", F.lit(pattern))
+    head = F.regexp_extract("t", rf"^\s*([{gur}]+)", 1)
+    after = F.regexp_extract("t", rf"^\s*[{gur}]+(-|[.]|)", 1)
+    second = F.regexp_extract("t", rf"^\s*[{gur}]+[.,]?\s+([{gur}]+)", 1)
+    of = lambda words: F.array(*(F.lit(w) for w in words)).cast("array<string>")
+    marked = F.array_contains(of(legend.pos), head) & ((after != "") | F.array_contains(of(legend.pos), second))
+    begins = F.when(head == nfd(F.lit("ਦੇਖੋ")), "xref").when(F.array_contains(of(legend.languages), head), "language").when(marked, "pos").otherwise("prose")
+    adverb = rf"(?<![{gur}])ਕ੍ਰਿ[.]?\s*ਵਿ-"
+    verbs = rf"(?<![{gur}])(?<!ਕ੍ਰਿ[.]?\s{{0,3}})"
+    signs = {"nukta": "\u0a3c", "visarga": f"[{gur}]\u0a03", "footnote": "[¹²³⁴⁵]", "quote_pair": '"[^"]*"', "devanagari_quote": "''[^']*''", "arabic_bracket": r"\[[^\]]*[\x{0600}-\x{06FF}][^\]]*\]", "hash": "#"}
+    found = [
+        one("head", begins, F.lit(1)),
+        one("pos_marker", "ਕ੍ਰਿ. ਵਿ", count(adverb)),
+        *(one("pos_marker", m, count(f"{verbs}{m}-")) for m in legend.pos),
+        *(one("language_head", m, (head == m).cast("int")) for m in legend.languages),
+        *(one("language_script", m, count(rf"(?<![{gur}]){m}[.]\s*(?=\[|[\x{{0900}}-\x{{097F}}])")) for m in legend.languages),
+        *(one("sign", name, count(pattern)) for name, pattern in signs.items()),
+    ]
+    counted = told.select(F.explode(F.filter(F.array(*found), lambda x: x["n"] > 0)).alias("x")).groupBy("x.kind", "x.key").agg(F.sum("x.n").alias("n"))
+    known = [nfd_text(w) for w in (*legend.languages, *legend.pos, *sources, "ਦੇਖੋ", "ਸੰਬੋਧਨ", "ਲੋਕੋ")]
+    strange = told.select(head.alias("head"), after.alias("after")).filter((F.col("after") == ".") & ~F.col("head").isin(known) & ~F.col("head").rlike(f"^[{GURMUKHI.digits}]+$"))
+    return tally.unionByName(unknown).unionByName(counted).unionByName(_most(strange, "head", "unknown_head", top))
+
+
+def _most(rows: DataFrame, column: str, kind: str, top: int) -> DataFrame:
+    counts = rows.groupBy(F.col(column).alias("key")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "key").limit(top)
+    return counts.select(F.lit(kind).alias("kind"), "key", "n")
+
+
+def spelling_queue(words: DataFrame, page: int = 1, size: int = 50) -> DataFrame:
+    """One page of the spellings to decide: words (id, gurmukhi, spelling_candidate, spelling_reviewed, printed_page) that
+    have a candidate and no review, in the order of the printed page, unpaged ones last; rank and total_pages added."""
+    waiting = words.filter("spelling_candidate is not null and not coalesce(spelling_reviewed, false)")
+    order = (F.col("printed_page").asc_nulls_last(), "gurmukhi", "id")
+    total = waiting.agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("total_pages"))
+    rows = waiting.orderBy(*order).offset((page - 1) * size).limit(size)
+    ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)) + (page - 1) * size)  # one page
+    return ranked.crossJoin(F.broadcast(total)).select("rank", "id", "gurmukhi", "spelling_candidate", "printed_page", "total_pages")  # one row

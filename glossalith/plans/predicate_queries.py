@@ -100,10 +100,17 @@ def xref_targets(spark, sf_dir):
     return rows.agg(senses.alias("s")).select(F.posexplode(text.xref_targets(F.col("s"))).alias("place", "target"))
 
 
-@query(values([("enumerator", "", 1), ("numeric", "", 1), ("source:sggs_raags", "", 2), ("unrecognized", "", 3), ("unrecognized_body", "ਹੱਥ", 2), ("unrecognized_body", "ਪੈਰ", 1)], "kind, key, n"))
+_REPORT = [
+    ("enumerator", "", 1), ("numeric", "", 1), ("source:sggs_raags", "", 2), ("unrecognized", "", 3), ("unrecognized_body", "ਹੱਥ", 2), ("unrecognized_body", "ਪੈਰ", 1),
+    ("head", "prose", 3), ("head", "language", 1), ("head", "xref", 1), ("head", "pos", 1), ("language_head", "ਸੰ", 1), ("language_script", "ਸੰ", 2), ("pos_marker", "ਧਾ", 1), ("pos_marker", "ਕ੍ਰਿ. ਵਿ", 1), ("pos_marker", "ਸੰਗ੍ਯਾ", 1),
+    ("sign", "hash", 1), ("sign", "quote_pair", 1), ("sign", "visarga", 1), ("sign", "footnote", 1), ("unknown_head", "ਬੱਸ", 1),
+]
+
+
+@query(values(_REPORT, "kind, key, n"))
 def shorthand_report(spark, sf_dir):
-    senses = literal(spark, [("x (ੳ) (ਹੱਥ) (ਆਸਾ ਮਃ ੫)",), ("(ਹੱਥ) (ਪੈਰ) (੧੨) (ਮਾਝ)",), (None,)], "sense string")
-    return dictionary.shorthand_report(senses, "sense", dict.fromkeys(EVIDENCED.raags, "sggs_raags"), list(EVIDENCED.bhagats))
+    senses = literal(spark, [("x (ੳ) (ਹੱਥ) (ਆਸਾ ਮਃ ੫)",), ("(ਹੱਥ) (ਪੈਰ) (੧੨) (ਮਾਝ)",), (None,), ("",), ('ਸੰ. गुर ਧਾ- ਯਤਨ "ਕ ਖ"# ਸੰ. गुरु¹',), ("ਦੇਖੋ, ਨਾਮ. ਕ੍ਰਿ. ਵਿ- ਛੇਤੀ",), ("ਸੰਗ੍ਯਾ- ਨਾਮ",), ("ਬੱਸ. ਹੋਰ",)], "sense string")
+    return dictionary.shorthand_report(senses, "sense", EVIDENCED)
 
 
 @query(values([("ਸਤਿ", "sət̪ɪ", "ਸਤ"), ("abc", "", None)], "gurmukhi, ipa_display, search_fold"))
