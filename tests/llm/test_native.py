@@ -283,6 +283,37 @@ def test_forest_tells_keys_from_other_long_tokens(spark, sf_dir):
     assert all(r.is_secret for r in got if truth[r.doc_id, r.start])
 
 
+def test_held_out_findings_are_told_from_other_tokens(spark):
+    """Precision and recall on documents that the forest has not seen, against what was planted there."""
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("text rlike '(?i)AKIA|password=|token = '")
+    planted = re.compile(r"(?i)AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|password=\w+|token = \"([0-9a-f]{40})\"")
+    truth = {(r.doc_id, m.start(1) if m[1] else m.start()) for r in docs.collect() for m in planted.finditer(r.text)}
+    got = op9_secrets(spark, folder).collect()
+    assert truth <= {(r.doc_id, r.start) for r in got}  # no planted secret fails to be a candidate
+    held = [r for r in got if r.held_out]
+    said, true = {(r.doc_id, r.start) for r in held if r.is_secret}, {(r.doc_id, r.start) for r in held} & truth
+    print(f"held out: {len(held)} candidates, {len(true)} secrets, {len(said)} found, {len(said & true)} of them rightly")
+    assert len(true) >= 20 and len(held) >= 2 * len(true)
+    assert len(said & true) >= 0.95 * len(said) and len(said & true) >= 0.95 * len(true)
+
+
+def test_labelled_findings_as_a_table(documents, spark):
+    """Reviewed findings of some documents: the word next to a token decides, also where there are none."""
+    docs = documents([(i, f"the {'vault' if i % 2 else 'ticket'}: {chr(97 + i % 26) * 3}{i * 7919 % 99991:05}Qx{i * 104729 % 999983:06} today") for i in range(400)])
+    found = candidates(docs).collect()
+    findings = spark.createDataFrame([(r.id, r.start, r.id % 2) for r in found if r.id < 300] + [(10_000, 0, 1), (1, 0, 1), (None, 3, 1)], "id bigint, start int, is_secret int").withColumn("label", F.lit("x"))
+    got = scan_secrets(docs, findings=findings.unionByName(findings)).collect()
+    assert len(got) == len(found) == 400 and all(r.is_secret == bool(r.doc_id % 2) for r in got)
+    assert scan_secrets(docs, findings=findings.limit(0)).filter("is_secret").count() == 0
+
+
+def test_one_token_in_most_rows_leaves_the_sample_bounded(documents):
+    rows = [(7, "key = a1b2c3d4e5f6a7b8 end") for _ in range(500)] + [(i, f"see path/to/file{i:06}name.txt") for i in range(30)]
+    got = scan_secrets(documents(rows), max_labelled=40, min_documents=1).collect()
+    assert len(got) == 530
+
+
 def test_given_labels_are_learned(documents):
     rows = [(i, f"word path/to/file{i:06}name.txt and key {'q7' * 8}{i}") for i in range(60)]
     got = scan_secrets(documents(rows), label=(F.col("slashes") > 0)).collect()
