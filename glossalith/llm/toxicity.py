@@ -192,11 +192,12 @@ def restored_words(token: str, model) -> tuple[str, ...]:
 
 def features(word: str) -> tuple[str, ...]:
     """The word and its beginnings of 4 to 6 letters, which inflected forms share."""
-    return () if len(word) < 3 else ("=" + word, *(f"^{word[:n]}" for n in (4, 5, 6) if len(word) >= n))
+    return ("=" + word, *(f"^{word[:n]}" for n in (4, 5, 6) if len(word) >= n)) if word else ()
 
 
 def spaced(words: list[str]) -> list[str]:
-    """Runs of four or more single characters, each as one token with blanks inside (at most 40 characters each)."""
+    """Runs of four or more single characters, each as one token with blanks inside. Long runs are read in windows of half
+    LONGEST letters that overlap by three quarters, so a word of up to 16 letters lies whole in one of them."""
     import numpy as np
 
     single = np.fromiter(map(len, words), np.int32, len(words)) == 1
@@ -204,7 +205,7 @@ def spaced(words: list[str]) -> list[str]:
         return []
     edges = np.flatnonzero(np.diff(np.concatenate([[0], single.view(np.int8), [0]])))
     runs = [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a >= 4]
-    return [" ".join(words[i : min(i + LONGEST // 2, b)]) for a, b in runs for i in range(a, b, LONGEST // 4)]
+    return [" ".join(words[i : min(i + LONGEST // 2, b)]) for a, b in runs for i in range(a, max(a + 1, b - 3), LONGEST // 8)]
 
 
 @dataclass
@@ -229,12 +230,13 @@ class Scorer:
         return set(words) | set(spaced(words))
 
     def evidence(self, tokens: set[str], lookup, own: int | None = None) -> float:
-        """The strongest word's weight and a third of the next one's; of a word, its strongest feature counts."""
+        """The weights of all words that speak for toxicity, the strongest whole, the next a third of it, a fifth, and so
+        on: mild words add up too. Of a word, its strongest feature counts."""
         if own is None:
-            top = sorted((w for w in map(lookup.__getitem__, tokens) if w), reverse=True)[:2]
+            found = [w for w in map(lookup.__getitem__, tokens) if w]
         else:
-            top = sorted((max((self.weight(f, own) for f in names), default=0.0) for names in map(lookup.__getitem__, tokens) if names), reverse=True)[:2]
-        return sum(max(x, 0.0) / (1 + 2 * k) for k, x in enumerate(top))
+            found = [max((self.weight(f, own) for f in names), default=0.0) for names in map(lookup.__getitem__, tokens) if names]
+        return sum(max(x, 0.0) / (1 + 2 * k) for k, x in enumerate(sorted(found, reverse=True)))
 
     def names(self, token: str) -> tuple[str, ...]:
         return tuple(f for w in restored_words(token, self.model) for f in features(w) if f in self.counts)
@@ -281,7 +283,10 @@ def train(docs: DataFrame, labels: DataFrame, train_filter=None, id_col: str = "
     the base rate explains (min_surprise: twice the log likelihood ratio; 20 is one in 100,000) and in most of its
     documents (min_purity); a beginning also in those that its known continuations leave: toxic documents with one word
     don't make all words that begin like it toxic. An id labelled
-    more than once is toxic if any label says so; null labels and ids are left out.
+    more than once is toxic if any label says so; null labels and ids are left out. Of the sample's texts that agree in
+    label and in the smallest hash of their shingles - repeated rows, near copies, and texts without words - one stays.
+    Null and empty texts are texts without words; long ones are read whole. Without labels, as of empty tables, all
+    scores are low and alike. Other columns are not read.
     """
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "toxicity")
     scorer = Scorer(character_model(docs, text_col).tolist())
@@ -374,7 +379,8 @@ def score_column(scorer: Scorer, spark: SparkSession, text_col: str = "text") ->
 
 
 def score_documents(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
-    """One row per input row: id, extra columns, score. Null and empty texts have no evidence and score as such."""
+    """One row per input row: id, extra columns, score. Null and empty texts have no evidence and score as such; long
+    texts are read whole; repeated rows score alike, and ids are only carried. An empty table gives an empty result."""
     return docs.select(F.col(id_col), *(c.alias(k) for k, c in (extra or {}).items()), score_column(scorer, docs.sparkSession, text_col).alias("score"))
 
 
