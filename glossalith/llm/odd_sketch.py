@@ -197,17 +197,19 @@ def _components(source: DataFrame, ws: Workspace, percent: int, words_per_shingl
     rank = F.struct("id", "place")
     local = signed.groupBy("klass", "run").agg(F.min(rank).alias("best"), F.first("n_shingles").alias("n_shingles"))
     classes = ws.save(local.groupBy("klass").agg(F.min("best").alias("best"), F.first("n_shingles").alias("n_shingles")), "classes")
+    # sides that grow with the rows are shuffled at every size, narrow ones first
     nodes = classes.filter("n_shingles > 0").select(F.col("best.place").alias("place"), "klass")
-    sketches = ws.save(signed.join(nodes, ["place", "klass"], "left_semi").select(F.col("place").alias("node"), "n_shingles", "bands", "odd"), "sketches")
+    sketches = ws.save(signed.join(nodes.hint("merge"), ["place", "klass"], "left_semi").select(F.col("place").alias("node"), "n_shingles", "bands", "odd"), "sketches")
 
-    keyed = sketches.select("node", "bands", F.posexplode("bands").alias("band", "key"))
+    keyed = sketches.select("node", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # the bands after a row's own: members of a bucket that agree in these too stand next to each other
-    after = F.slice(F.concat("bands", "bands"), F.col("band") + 2, 3)
-    buckets = ws.save(keyed.join(shared, "key").select("key", "node", "n", after.alias("after")), "buckets")
+    buckets = ws.save(keyed.join(shared.hint("merge"), "key").select("key", "node", "n", F.col("band").cast("byte").alias("band")), "buckets")
     # a common origin of near copies shares more buckets, and larger ones, than its copies do among themselves
     weight = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
-    members = ws.save(buckets.join(weight.join(sketches.select("node", "n_shingles", "odd"), "node"), "node"), "members")
+    # the bands after a row's own: members of a bucket that agree in these too stand next to each other
+    after = F.slice(F.concat("bands", "bands"), F.col("band") + 2, 3).alias("after")
+    members = buckets.join(weight.join(sketches, "node"), "node").select("key", "node", "n", "weight", "n_shingles", "odd", after)
+    members = ws.save(members, "members")
     ws.drop("buckets")
     # 0.2 below the limit: five standard deviations of the sketches' estimate there
     floor = percent / 100 - 5 * math.sqrt(percent / 100 * (1 - percent / 100) / SAMPLES)

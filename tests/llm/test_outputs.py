@@ -57,6 +57,48 @@ def test_token_files_are_delta_encoded_with_page_indexes(spark, docs):
     assert "DELTA_BINARY_PACKED" in ids.encodings and ids.has_offset_index and columns["doc_id"].has_column_index
 
 
+def test_a_range_of_ids_reads_its_pages_only(spark, documents):
+    path = Workspace(spark, "test").path("ids")
+    rows = documents([(i, f"word{i} and more") for i in range(30_000)]).select("doc_id", "text")
+    write_tokens(encode_documents(rows, tokenizer_path(), END_ID, shards=1), path, page_bytes=4096)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        part = spark.read.parquet(path).filter("doc_id between 12000 and 12009").select("doc_id", "ids")
+        assert part.count() == 10
+        got = part.collect()
+        leaves = part._jdf.queryExecution().executedPlan().collectLeaves()
+        read = sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert len(got) == 10 and read <= 3 * 4096
+    assert read_tokens(spark, path, 12_000, 12_009).select("start").orderBy("start").first()[0] == token_metadata(spark, path).filter("doc_id = 12000").first().start
+
+
+def test_mixed_rows_with_repeated_and_null_ids(documents):
+    """Rows come back by their own number: as many as the plan takes, none multiplied by another of the same id."""
+    rows = [(1, "a b c", None, "s"), (1, "d e f", None, "s"), (1, "d e f", None, "s"), (None, "g h", None, "s"), (None, "i j", None, None), (2, None, None, "s"), (2, "", None, None)] + [(None, f"k{i} l m n", None, "t") for i in range(300)]
+    docs = documents(rows).withColumns({"place": F.lit("mine"), "times": F.lit(7), "copy": F.lit(None), "size": F.lit(1)})
+    plan, kept = pivotal_mix(docs, group_rows=20, fan_in=3), mixed_rows(docs, group_rows=20, fan_in=3)
+    whole = sum(r.copies + (2 * r.extra_words >= max(r["size"], 1)) for r in plan.collect())
+    assert kept.count() == whole and kept.columns == docs.columns and kept.filter("place <> 'mine' or text is null or text = ''").count() == 0
+    check_mix(plan)
+    again = mixed_rows(docs.repartition(13), group_rows=20, fan_in=3)
+    shape = lambda df: sorted(((r.doc_id, r.source, len(r.text)) for r in df.collect()), key=repr)
+    assert shape(kept) == shape(again)
+
+
+def test_no_group_holds_all_rows_of_one_id(spark, documents, monkeypatch):
+    from glossalith.llm import mixing
+
+    docs = documents([(None if i % 2 else i, "a b c", None, "s") for i in range(4000)] + [(9000 + i, "d e", None, "t") for i in range(500)])
+    sizes = []
+    real = mixing.Workspace.save
+    monkeypatch.setattr(mixing.Workspace, "save", lambda self, df, name, **o: (lambda t: (sizes.append(t.groupBy("source", "group").count().agg(F.max("count")).first()[0]) if name == "level0" else None, t)[1])(real(self, df, name, **o)))
+    assert pivotal_mix(docs, group_rows=200).count() == 4500
+    assert sizes and max(sizes) < 400
+
+
 def test_targets_share_the_total_under_the_limit():
     sizes = {"a": 10, "b": 1000, "c": 1000, None: 5}
     weights = cyclic_weights(list(sizes))
