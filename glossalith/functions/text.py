@@ -366,3 +366,8 @@ def classify_citation(body: Column, sources: dict[str, str], bhagats: list[str])
 def percent(part: Column, whole: Column) -> Column:
     """One decimal and a percent sign; n/a when there is no whole."""
     return F.when(whole == 0, "n/a").otherwise(F.format_string("%.1f%%", 100.0 * part / whole))
+
+
+def heat_colour(ratio: Column) -> Column:
+    """A style's background where nothing is flagged, else a shade that darkens with the ratio."""
+    return F.when(ratio <= 0, "var(--bg-alt)").otherwise(F.format_string("hsl(28, 45%%, %.2f%%)", 88 - ratio * 55))

@@ -109,3 +109,14 @@ def health_report(lines: DataFrame, words: DataFrame, occ: DataFrame, definition
 
 def share(part: Column, whole: Column) -> Column:
     return percent(part, whole)
+
+
+def tables_without_policy(scripts: DataFrame) -> DataFrame:
+    """(table_name, file): tables that migration scripts (file, body) create and none of them puts under row-level
+    security, with the first file that creates each. Commented lines don't count, names do without schema and quotes."""
+    code = scripts.select("file", F.array_join(F.filter(F.split("body", "\n"), lambda x: ~F.ltrim(x).startswith("--")), "\n").alias("code"))
+    name = lambda c: F.lower(F.replace(F.regexp_replace(c, "^public[.]", ""), F.lit('"'), F.lit("")))
+    found = lambda pattern: code.select("file", F.explode(F.regexp_extract_all("code", F.lit(pattern), F.lit(1))).alias("t")).select("file", name(F.col("t")).alias("table_name"))
+    made = found(r"(?i)create\s+table\s+(?:if\s+not\s+exists\s+)?([a-z_.\"]+)").groupBy("table_name").agg(F.min("file").alias("file"))
+    kept = found(r"(?i)alter\s+table\s+(?:only\s+)?([a-z_.\"]+)\s+enable\s+row\s+level\s+security").select("table_name").distinct()
+    return made.join(kept, "table_name", "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.script import LATIN
 from ..functions.sense_parser import SENSE_SCHEMA
-from ..operators import dictionary, search
+from ..operators import corpus, dictionary, quality, search
 from ..sources import readers
 from ..sources.workspace import Workspace
 from .base import CORPUS_SQL, literal, query, table, values
@@ -271,6 +271,51 @@ def cache_misses(spark, sf_dir):
     return readers.cache_misses(keyed.filter("event_id % 2 = 0"), keyed.filter("event_id % 3 = 0").select("key").distinct())
 
 
+@query("SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag IN ('A', 'N') AND l_partkey IS NOT NULL)")
+def pending_keys(spark, sf_dir):
+    """What a scrape has left: keys without a landed row, or only with failures (R) that pass."""
+    landed = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), "l_returnflag")
+    return readers.pending(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), landed, "id", F.col("l_returnflag").isin("A", "N"))
+
+
+@query("SELECT o_orderkey AS id, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 200) AS BIGINT) AS batch FROM orders")
+def write_batches(spark, sf_dir):
+    from ..sources import sinks
+
+    return sinks.batches(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), "id", 200)
+
+
+_SCRIPTS = [
+    ("1.sql", "CREATE TABLE IF NOT EXISTS public.words (\n id int);\n-- create table ghost (id int);\ncreate table \"Lines\" (id int);"),
+    ("2.sql", "alter table only words enable row level security;\n-- alter table lines enable row level security;\ncreate table lines (id int); create table flags (id int);"),
+    ("3.sql", "ALTER TABLE flags\n ENABLE ROW LEVEL SECURITY; create table audit (id int);"),
+]
+
+
+@query(values([("lines", "1.sql"), ("audit", "3.sql")], "table_name, file"))
+def tables_without_policy(spark, sf_dir):
+    return quality.tables_without_policy(literal(spark, _SCRIPTS, "file string, body string"))
+
+
+@query(
+    """SELECT l_partkey AS word_id, c_nationkey AS writer_id, min(c_name) AS writer, CAST(count(*) AS INTEGER) AS frequency
+    FROM part JOIN lineitem ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE c_nationkey <> 3 GROUP BY 1, 2"""
+)
+def joined_writer_stats(spark, sf_dir):
+    """Words, occurrences, lines and hymns joined, counted by word and writer; hymns without a writer are left out."""
+    c = F.col
+    words = table(spark, sf_dir, "part").select(c("p_partkey").alias("word_id"))
+    occ = table(spark, sf_dir, "lineitem").select(c("l_partkey").alias("word_id"), c("l_orderkey").alias("line_id"))
+    lines = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("line_id"), c("o_custkey").alias("shabad_id"))
+    shabads = table(spark, sf_dir, "customer").select(c("c_custkey").alias("shabad_id"), F.when(c("c_nationkey") != 3, c("c_nationkey")).alias("writer_id"), c("c_name").alias("writer"))
+    return corpus.writer_stats(words.join(occ, "word_id").join(lines, "line_id").join(shabads, "shabad_id"), "word_id")
+
+
+@query("SELECT event_id, CASE WHEN value <= 0 THEN 'var(--bg-alt)' ELSE printf('hsl(28, 45%%, %.2f%%)', 88 - value / 100 * 55) END AS colour FROM events")
+def heat_colours(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", text.heat_colour(F.col("value") / 100).alias("colour"))
+
+
 # ---- JSON paths, confidence, SQL functions, the stream --------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import phonetics, text
 from ..functions.legend import EVIDENCED
 from ..functions.sense_parser import parsed_sense
 from ..operators import dictionary, evidence, morph
@@ -113,9 +113,19 @@ def shorthand_report(spark, sf_dir):
     return dictionary.shorthand_report(senses, "sense", EVIDENCED)
 
 
-@query(values([("ਸਤਿ", "sət̪ɪ", "ਸਤ"), ("abc", "", None)], "gurmukhi, ipa_display, search_fold"))
+_SOUND = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in phonetics.SOUNDS.items()) + "}"
+_NASAL = "MAP {" + ", ".join(f"'{c}': '{sound}'" for sound, letters in phonetics.NASAL_BEFORE.items() for c in letters) + "}"
+#: A word's characters c read one by one: what a character sounds like depends on the next one only.
+_IPA = f"""regexp_replace(array_to_string(list_transform(range(1, len(c) + 1), lambda i: CASE
+        WHEN c[i] = '{phonetics.ADDAK}' THEN coalesce(({_SOUND})[c[i + 1]], '') WHEN c[i] = '{phonetics.VIRAMA}' THEN ''
+        WHEN contains('{phonetics.NASALS}', c[i]) THEN coalesce(({_NASAL})[c[i + 1]], '{phonetics.DENTAL}') WHEN contains('{phonetics.SIGNS}', c[i]) THEN ({_SOUND})[c[i]]
+        WHEN ({_SOUND})[c[i]] IS NULL THEN '' WHEN c[i + 1] IS NOT NULL AND contains('{phonetics.SIGNS}{phonetics.VIRAMA}', c[i + 1]) THEN ({_SOUND})[c[i]] ELSE ({_SOUND})[c[i]] || '{phonetics.SCHWA}' END), ''), '{phonetics.SCHWA}$', '')"""
+
+
+@query(f"WITH {VOCABULARY_SQL}, spelt AS (SELECT gurmukhi, regexp_extract_all(gurmukhi, '.') AS c FROM vocabulary) SELECT gurmukhi, {_IPA} AS ipa_display, nullif({FOLD_SQL}, '') AS search_fold FROM spelt")
 def populated_words(spark, sf_dir):
-    return morph.populate(literal(spark, [("ਸਤਿ",), ("abc",)], "gurmukhi string"))
+    """Display IPA and folded key of every word."""
+    return morph.populate(vocabulary(spark, sf_dir).select("gurmukhi"))
 
 
 @query("SELECT p_partkey AS id, p_brand AS gurmukhi, 0 AS n FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem) UNION ALL SELECT p_partkey, p_brand, CAST(count(*) AS INTEGER) FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY 1, 2")

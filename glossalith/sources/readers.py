@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Layout of a corpus page response.
@@ -54,9 +54,11 @@ def cache_misses(wanted: DataFrame, cache: DataFrame, key: str = "key") -> DataF
     return wanted.select(key).distinct().join(cache.select(key), key, "left_anti")
 
 
-def pending(wanted: DataFrame, landed: DataFrame, key: str) -> DataFrame:
-    """What a checkpointed scrape has left: wanted keys without a landed row."""
-    return wanted.join(landed.select(key).distinct(), key, "left_anti")
+def pending(wanted: DataFrame, landed: DataFrame, key: str, settled: Column | None = None) -> DataFrame:
+    """What a checkpointed scrape has left: wanted keys without a landed row, or with none that is settled (transient
+    failures are tried again)."""
+    done = landed if settled is None else landed.filter(settled)
+    return wanted.join(done.select(key).distinct(), key, "left_anti")
 
 
 def side_map(parsed: DataFrame) -> DataFrame:

@@ -34,6 +34,17 @@ def replace_table(df: DataFrame, path: str, by: list[str] | None = None) -> None
         fs.delete(old, True)
 
 
+def batches(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Rows with the number, from 0, of their batch of `size` keys each, in order of the key: for targets that take so
+    many at a time. Parquet needs none."""
+    from ..operators.corpus import word_dimension
+
+    if size <= 0:
+        raise ValueError("a batch holds at least one row")
+    numbered = word_dimension(rows.select(key), key)
+    return rows.join(numbered.select(key, F.floor((F.col("word_id") - 1) / size).alias("batch")), key)
+
+
 def merge_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New rows win over old ones of the same keys; old rows without a new one stay."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)

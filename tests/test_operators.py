@@ -48,6 +48,11 @@ def test_partner_lists_a_self_pair_once(spark):
     assert tuples(ngrams.partners(pairs)) == [("a", "a", 5), ("a", "b", 3), ("b", "a", 3)]
 
 
+def test_populated_words(spark):
+    got = morph.populate(table(spark, [("ਸਤਿ",), ("abc",)], "gurmukhi string"))
+    assert tuples(got, "gurmukhi", "ipa_display", "search_fold") == sorted([("ਸਤਿ", "sət̪ɪ", "ਸਤ"), ("abc", "", None)], key=repr)
+
+
 def test_bare_stems_do_not_count_in_group_size(spark):
     words = table(spark, [("ਨਾਮ",), ("ਨਾਮੁ",), ("ਨਾਮਾ",)], "gurmukhi string")
     assert tuples(morph.stem_groups(words), "gurmukhi", "stem_group_size") == [("ਨਾਮਾ", 2), ("ਨਾਮੁ", 2)]
@@ -234,6 +239,20 @@ def test_sinks_are_idempotent(spark, tmp_path):
     assert spark.read.parquet(parts).count() == 4
 
 
+def test_a_batch_holds_at_least_one_row(spark):
+    rows = table(spark, [("a",), ("c",), ("b",)], "k string")
+    assert tuples(sinks.batches(rows, "k", 2)) == [("a", 0), ("b", 0), ("c", 1)]
+    with pytest.raises(ValueError):
+        sinks.batches(rows, "k", 0)
+
+
+def test_a_table_is_swapped_and_the_old_one_goes(spark, tmp_path):
+    path = tmp_path / "t"
+    for n in (1, 2):
+        sinks.replace_table(table(spark, [(n,)], "n int"), str(path))
+    assert tuples(spark.read.parquet(str(path))) == [(2,)] and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["t"]
+
+
 def test_stream_counts_once(spark, tmp_path):
     inbox, out = tmp_path / "in", str(tmp_path / "out")
     for k in range(2):
