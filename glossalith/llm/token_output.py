@@ -7,7 +7,6 @@ import os
 import string
 import unicodedata
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +18,8 @@ from .common import utf8
 SHARD_SCHEMA = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("local_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
 MARKS = string.punctuation.encode()
+#: Text that is encoded at a time.
+TEXT_BYTES = 12 << 20
 #: Tokenizers by path, and ids by word, kept by a worker from task to task.
 _LOADED: dict = {}
 
@@ -32,18 +33,22 @@ def _byte_letters() -> list[str]:
 
 
 def _encoder(path: str, limit: int = 350_000, together: int = 256):
-    """bytes -> little-endian 32-bit ids, through a cache by word: two generations of at most `limit` words each, the
-    older of which is dropped when the younger is full.
+    """Returns encode(texts: a pyarrow string array, end) -> (all ids, number of ids of each text).
 
     A text is cut at ASCII white space, which the tokenizer drops and never lets a piece cross, so the ids of the
-    words in order are the ids of the text. It also lowers case, so A-Z are lowered before the cache is asked (texts
-    that hold a mark of its special tokens excepted, whose case counts). A new word that is letters alone, but for marks
-    at its end, is one piece and one piece of marks: such pieces go to the vocabulary's merges, `together` at once, past
-    the rest of the tokenizer. All other words go through the whole tokenizer.
+    words in order are the ids of the text. It also lowers case, so A-Z are lowered first (texts that hold a mark of its
+    special tokens excepted, whose case counts). The distinct words of the texts are looked up in a cache of two
+    generations, at most `limit` words each, the older of which is dropped when the younger is full; then all ids are
+    gathered at once. A new word that is letters alone, but for marks at its end, is one piece and one piece of marks:
+    such pieces go to the vocabulary's merges, `together` at once, past the rest of the tokenizer. All other words go
+    through the whole tokenizer.
     """
     if path in _LOADED:
         return _LOADED[path]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
     from tokenizers import Tokenizer
 
     tokenizer, cache, letters, older = Tokenizer.from_file(path), {}, _byte_letters(), {}
@@ -59,8 +64,6 @@ def _encoder(path: str, limit: int = 350_000, together: int = 256):
 
     def one_piece(stem: bytes) -> str | None:
         """The stem's bytes as letters of the vocabulary, if the tokenizer takes it for one piece."""
-        if stem.isalpha():
-            return stem.decode() if stem.islower() else None
         text = stem.decode("utf-8", "replace")
         low = text.lower()  # as a whole; the tokenizer lowers letter by letter, which a final sigma shows
         if text.isalpha() and low.isalpha() and "\u03a3" not in text and unicodedata.is_normalized("NFC", text):
@@ -78,7 +81,7 @@ def _encoder(path: str, limit: int = 350_000, together: int = 256):
             if stem not in cache and stem not in stems:
                 found = older.get(stem)
                 if found is None:
-                    text = one_piece(stem) if plain else None
+                    text = None if not plain else stem.decode() if stem.isalpha() and stem.islower() else one_piece(stem)
                     if text is None:
                         cache[word] = whole(word)
                         continue
@@ -87,37 +90,48 @@ def _encoder(path: str, limit: int = 350_000, together: int = 256):
                     cache[stem] = found
             if len(stem) < len(word):
                 cut.append((word, stem, word[len(stem) :]))
-        pieces = list(stems)
+        pieces, texts = list(stems), list(stems.values())
         for i in range(0, len(pieces), together):
             part = pieces[i : i + together]
-            found = merges.encode(" ".join([stems[x] for x in part]), add_special_tokens=False)
-            at, own = 0, found.word_ids
-            ids = b"".join([four[x] for x in found.ids])
-            for k, stem in enumerate(part):
-                end = bisect_right(own, k, at)
-                cache[stem] = ids[4 * at : 4 * end]
-                at = end
+            found = merges.encode(" ".join(texts[i : i + together]), add_special_tokens=False)
+            data, edges = np.array(found.ids, "<u4").tobytes(), (4 * np.searchsorted(found.word_ids, np.arange(len(part) + 1))).tolist()
+            cache.update(zip(part, map(data.__getitem__, map(slice, edges, edges[1:])), strict=False))
         for word, stem, tail in cut:
             marks = cache.get(tail)
             if marks is None:
                 marks = cache[tail] = whole(tail)
             cache[word] = cache[stem] + marks
 
-    def encode(text: bytes) -> bytes:
+    def ids_of(words: list[bytes]) -> list[bytes]:
         nonlocal cache, older
-        words = (text.lower() if lowers and b"<|" not in text else text).split()
         parts = list(map(cache.get, words))
         if None in parts:
             if len(cache) > limit:
                 cache, older = {}, cache
-            places, at = [], -1
-            for _ in range(parts.count(None)):
-                at = parts.index(None, at + 1)
-                places.append(at)
+            places = [i for i, part in enumerate(parts) if part is None]
             learn([words[i] for i in places])
             for i in places:
                 parts[i] = cache[words[i]]
-        return b"".join(parts)
+        return parts
+
+    def encode(texts, end: int | None):
+        if lowers:
+            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        cut = pc.ascii_split_whitespace(texts)
+        found = cut.flatten().dictionary_encode()
+        parts = ids_of(found.dictionary.cast(pa.binary()).to_pylist())
+        parts.append(four[end] if end is not None else b"")
+        pool = np.frombuffer(b"".join(parts), "<u4")
+        lengths = np.fromiter(map(len, parts), np.int32, len(parts)) // np.int32(4)
+        starts = np.cumsum(lengths) - lengths
+        edges = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
+        order = np.insert(found.indices.to_numpy(), edges[1:], len(parts) - 1)  # the end stands after each text's last word
+        own = lengths[order]
+        after = np.cumsum(own)
+        shift = (starts[order] - after + own).astype(np.int32)  # from an id's place among all to its place in the pool
+        ids = pool[np.arange(after[-1] if len(after) else 0, dtype=np.int32) + np.repeat(shift, own)]
+        last = after[edges[1:] + np.arange(len(edges) - 1)]
+        return ids, np.diff(last, prepend=0)
 
     _LOADED[path] = encode
     return encode
@@ -130,30 +144,26 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None =
     follows. Null text is an empty text: only the end id. Null ids come first. Repeated ids stay together, in an
     order by text, so reruns agree.
     """
-    end = int(end_id).to_bytes(4, "little") if end_id is not None else b""
 
     def encoded(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         encode, shard, start = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
+            texts = batch.column(1).view(pa.string())
+            ends = np.cumsum(pc.binary_length(texts).to_numpy())
             at = 0
-            while at < batch.num_rows:  # few rows at a time: long texts never meet in one output batch
-                part, sizes, parts, total = at, [], [], 0
-                for text in batch.column(1)[at:]:
-                    parts.append(encode(text.as_buffer().to_pybytes()) + end)
-                    sizes.append(len(parts[-1]) // 4)
-                    total += sizes[-1]
-                    at += 1
-                    if total > 2_000_000:
-                        break
-                n = len(sizes)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("int64")
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), total, [None, pa.py_buffer(b"".join(parts))]))
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), batch.column(0).slice(part, n), pa.array(start + offsets[:-1]), pa.array(sizes, pa.int64()), ids], names=SHARD_SCHEMA.names)
-                start += total
+            while at < batch.num_rows:  # about as much text at a time, so that long texts never meet in one output batch
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXT_BYTES, "right")))
+                ids, sizes = encode(texts[at:stop], end_id)
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
+                n = stop - at
+                arrays = [pa.array([shard] * n, pa.int32()), batch.column(0).slice(at, n), pa.array(start + offsets[:-1]), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))]
+                yield pa.RecordBatch.from_arrays(arrays, names=SHARD_SCHEMA.names)
+                start, at = start + int(offsets[-1]), stop
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
     dealt = rows.repartitionByRange(shards, "doc_id") if shards else rows.repartitionByRange("doc_id")
