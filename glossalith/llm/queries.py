@@ -52,10 +52,11 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict for every page."""
     from .url_filter import judge_urls
 
     # trust should not go far along domains: half of it is left after a step
-    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, damping=0.5)
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, damping=0.5).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +116,46 @@ _SHINGLES = "CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(rang
 _WORDS = f"list_filter(string_split_regex({_LOWER.format('text')}, '{_BLANK}'), lambda x: x <> '')"
 _NORMAL = "list_filter(list_transform({words}, lambda x: trim(x, '.,;:!?\"''()[]{{}}<>|*#$%&_-')), lambda x: x <> '')".format(words=_WORDS)
 
+
+
+def _url_sql(rounds: int = 60) -> str:
+    """The rules, the host edges and the two walks, a table for every round (half of what moves is left after each)."""
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    fold = _LOWER.format("{}")
+    walk = "".join(
+        f""",
+        r{k} AS MATERIALIZED (SELECT r.kind, r.host, r.seed, 0.5 * r.seed + 0.5 * (coalesce(f.flow, 0) + l.lost * r.seed) AS score FROM r{k - 1} r
+            LEFT JOIN (SELECT e.kind, e.dst AS host, sum(x.score * e.share) AS flow FROM r{k - 1} x JOIN edges e ON e.kind = x.kind AND e.src = x.host GROUP BY 1, 2) f ON f.kind = r.kind AND f.host = r.host
+            JOIN (SELECT x.kind, sum(CASE WHEN o.src IS NULL THEN x.score ELSE 0 END) AS lost FROM r{k - 1} x LEFT JOIN (SELECT DISTINCT kind, src FROM edges) o ON o.kind = x.kind AND o.src = x.host GROUP BY 1) l ON l.kind = r.kind)"""
+        for k in range(1, rounds + 1)
+    )
+    return f"""
+        WITH cut AS (SELECT row_number() OVER () AS rid, page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+        placed AS (SELECT rid, page_id, html, coalesce({fold.format("regexp_extract(rest, '^([^/?#]*)', 1)")}, '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
+        rules AS (SELECT * FROM (VALUES {rules}) t(h, p, verdict)),
+        fits AS (SELECT rid, h || '/' || p AS rule, verdict, row_number() OVER (PARTITION BY rid ORDER BY length(h) + length(p) DESC, h || '/' || p DESC, verdict DESC) AS k
+                 FROM placed JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, '/' || p)),
+        hit AS (SELECT placed.*, rule, verdict FROM placed LEFT JOIN fits ON fits.rid = placed.rid AND k = 1),
+        seeds AS (SELECT host, count(*) FILTER (WHERE verdict = 'allow') AS trust, count(*) FILTER (WHERE verdict = 'block') AS distrust FROM hit WHERE host <> '' GROUP BY 1),
+        href AS (SELECT host AS src, unnest(list_distinct(regexp_extract_all(coalesce(html, ''), '(?i)href\\s*=\\s*["'']?(?:https?:)?//([^/"''?#\\s>]+)', 1))) AS dst FROM placed WHERE host <> ''),
+        found AS (SELECT src, {fold.format('dst')} AS dst FROM href),
+        own AS (SELECT * FROM found WHERE src <> dst AND dst <> ''),
+        named AS (SELECT DISTINCT host, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l FROM (SELECT host FROM placed UNION SELECT dst FROM own)),
+        chain AS (SELECT host, l, unnest(range(1, len(l) - 1)) AS i FROM named WHERE len(l) > 2 AND NOT regexp_full_match(host, '[0-9.:\\[\\]a-f]*')),
+        steps AS (SELECT DISTINCT CASE WHEN i = 1 THEN host ELSE array_to_string(l[i:], '.') END AS a, array_to_string(l[i + 1:], '.') AS b FROM chain),
+        links AS (SELECT src, dst, sum(n) AS n FROM (SELECT src, dst, count(*) AS n FROM own GROUP BY 1, 2 UNION ALL SELECT a, b, 1 FROM steps UNION ALL SELECT b, a, 1 FROM steps) GROUP BY 1, 2),
+        ways AS (SELECT 't' AS kind, src, dst, n FROM links UNION ALL SELECT 'd', dst, src, n FROM links),
+        edges AS MATERIALIZED (SELECT kind, src, dst, n::DOUBLE / sum(n) OVER (PARTITION BY kind, src) AS share FROM ways),
+        hosts AS (SELECT host FROM seeds UNION SELECT src FROM links UNION SELECT dst FROM links),
+        r0 AS MATERIALIZED (SELECT kind, host, seed, seed AS score FROM (SELECT 't' AS kind, host, coalesce(trust / nullif(sum(trust) OVER (), 0), 0.0)::DOUBLE AS seed FROM hosts LEFT JOIN seeds USING (host)
+                            UNION ALL SELECT 'd', host, coalesce(distrust / nullif(sum(distrust) OVER (), 0), 0.0)::DOUBLE FROM hosts LEFT JOIN seeds USING (host))){walk},
+        scores AS (SELECT host, sum(score) FILTER (WHERE kind = 't') AS t, sum(score) FILTER (WHERE kind = 'd') AS d FROM r{rounds} GROUP BY 1)
+        SELECT page_id, hit.host, path, rule, coalesce(verdict, CASE WHEN t + d > 0 AND round(d / (t + d), 6) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM hit LEFT JOIN scores ON scores.host = hit.host
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op4_url_filter": _url_sql(),
     "op7_decontamination": f"""
         WITH parted AS (SELECT item_id, text, string_split(regexp_replace(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '([.!?])[\\x20\\x09-\\x0D]+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM benchmark WHERE text IS NOT NULL),
         parts AS (SELECT item_id, 'whole' AS part, text FROM parted UNION ALL SELECT item_id, 'question', CASE WHEN len(s) > 1 THEN array_to_string(s[1:len(s) - 1], ' ') ELSE text END FROM parted

@@ -120,5 +120,5 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
     scores = propagate(links, seeds, ws, damping)
     judged = placed.drop("html").join(scores, "host", "left")
     both = F.nullif(F.col("trust") + F.col("distrust"), F.lit(0.0))
-    bad = F.coalesce(F.round(F.col("distrust") / both, 9) > block_share, F.lit(False))  # of masses however small
+    bad = F.coalesce(F.round(F.col("distrust") / both, 6) > block_share, F.lit(False))  # as exact as the walks, of masses however small
     return judged.select(F.col("id").alias(id_col), "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

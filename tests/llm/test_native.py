@@ -48,6 +48,10 @@ def test_url_query_follows_the_rules(spark, sf_dir):
         assert (r.host, r.path, r.rule) == (*parts(urls[r.page_id]), rule) and r.verdict in ([verdict] if verdict else ["allow", "block"])
 
 
+def test_url_query_equals_its_sql(spark, sf_dir):
+    same(op4_url_filter(spark, sf_dir).toPandas(), connect(sf_dir).sql(ORACLES["op4_url_filter"]).df())
+
+
 def brute_rank(edges, seeds, rounds=200, d=0.85):
     hosts = {h for e in edges for h in e[:2]} | set(seeds)
     total = sum(seeds.values())
@@ -101,7 +105,7 @@ def test_verdicts_without_a_rule_equal_dense_pagerank(spark, sf_dir):
     flat = [(a, b, n) for (a, b), n in edges.items()]
     trust = brute_rank(flat, {h: t for h, (t, _) in weights.items() if t}, 60, 0.5)
     distrust = brute_rank([(b, a, n) for a, b, n in flat], {h: d for h, (_, d) in weights.items() if d}, 60, 0.5)
-    got, blocked = op4_url_filter(spark, sf_dir).collect(), 0
+    got, blocked = judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES, damping=0.5).collect(), 0
     for r in got:
         if r.rule is None and r.host:
             t, d = trust.get(r.host, 0), distrust.get(r.host, 0)
