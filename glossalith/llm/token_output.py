@@ -19,7 +19,7 @@ SHARD_SCHEMA = T.StructType([T.StructField("shard", T.IntegerType()), T.StructFi
 
 MARKS = string.punctuation.encode()
 #: Text that is encoded at a time.
-TEXT_BYTES = 12 << 20
+TEXT_BYTES = 5 << 20
 #: Tokenizers by path, and ids by word, kept by a worker from task to task.
 _LOADED: dict = {}
 
@@ -129,7 +129,9 @@ def _encoder(path: str, limit: int = 350_000, together: int = 256):
         own = lengths[order]
         after = np.cumsum(own)
         shift = (starts[order] - after + own).astype(np.int32)  # from an id's place among all to its place in the pool
-        ids = pool[np.arange(after[-1] if len(after) else 0, dtype=np.int32) + np.repeat(shift, own)]
+        places = np.arange(after[-1] if len(after) else 0, dtype=np.int32)
+        places += np.repeat(shift, own)
+        ids = pool[places]
         last = after[edges[1:] + np.arange(len(edges) - 1)]
         return ids, np.diff(last, prepend=0)
 
