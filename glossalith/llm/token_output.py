@@ -19,7 +19,7 @@ SHARD_SCHEMA = T.StructType([T.StructField("shard", T.IntegerType()), T.StructFi
 
 MARKS = string.punctuation.encode()
 #: Text that is encoded at a time.
-TEXT_BYTES = 5 << 20
+TEXT_BYTES = 4 << 20
 #: Tokenizers by path, and ids by word, kept by a worker from task to task.
 _LOADED: dict = {}
 
@@ -32,7 +32,7 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(shifted)) for b in range(256)]
 
 
-def _encoder(path: str, limit: int = 350_000, together: int = 256):
+def _encoder(path: str, limit: int = 250_000, together: int = 256):
     """Returns encode(texts: a pyarrow string array, end) -> (all ids, number of ids of each text).
 
     A text is cut at ASCII white space, which the tokenizer drops and never lets a piece cross, so the ids of the
@@ -50,13 +50,14 @@ def _encoder(path: str, limit: int = 350_000, together: int = 256):
     import pyarrow as pa
     import pyarrow.compute as pc
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import WhitespaceSplit
 
     tokenizer, cache, letters, older = Tokenizer.from_file(path), {}, _byte_letters(), {}
     settings = json.loads(tokenizer.to_str())
     lowers = "Lowercase" in json.dumps(settings.get("normalizer"))
     plain = settings["pre_tokenizer"] is not None and settings["model"].get("dropout") is None and lowers
-    merges = Tokenizer.from_str(json.dumps(settings | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}))
-
+    merges = Tokenizer(tokenizer.model)  # one vocabulary in memory
+    merges.pre_tokenizer = WhitespaceSplit()
     four = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
 
     def whole(word: bytes) -> bytes:
