@@ -19,7 +19,7 @@ SHARD_SCHEMA = T.StructType([T.StructField("shard", T.IntegerType()), T.StructFi
 
 MARKS = string.punctuation.encode()
 #: Text that is encoded at a time.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 8 << 20
 #: Tokenizers by path, and ids by word, kept by a worker from task to task.
 _LOADED: dict = {}
 
@@ -32,7 +32,7 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(shifted)) for b in range(256)]
 
 
-def _encoder(path: str, limit: int = 250_000, together: int = 256):
+def _encoder(path: str, limit: int = 300_000, together: int = 256):
     """Returns encode(texts: a pyarrow string array, end) -> (all ids, number of ids of each text).
 
     A text is cut at ASCII white space, which the tokenizer drops and never lets a piece cross, so the ids of the
