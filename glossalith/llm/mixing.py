@@ -89,8 +89,8 @@ def pivotal_mix(docs: DataFrame, weights=cyclic_weights, max_ratio: float = 3.0,
     next level, until one unit a source is left. It takes that part of its words (extra_words), so a source's
     taken words are its target but for rounding to a word.
 
-    The result depends on ids, sizes, sources and seed only, not on how rows are partitioned. Rows that agree in id (null
-    included), source and size are units of their own, numbered from 0: which of them has which number doesn't show in
+    The result depends on ids, texts, sources and seed only, not on how rows are partitioned. Rows that agree in id (null
+    included), source and text are units of their own, numbered from 0: which of them has which number doesn't show in
     the result, and no group holds them all. Documents without words take nothing. Null is a source of its own. Very long
     texts are one number here. An empty table gives an empty result. Sources are held on the driver with their totals:
     their number is that of the mix's parts, not of documents. Other columns are not read, whatever their names.
@@ -102,8 +102,8 @@ def pivotal_mix(docs: DataFrame, weights=cyclic_weights, max_ratio: float = 3.0,
 def _plan(rows: DataFrame, weights, max_ratio: float, id_col: str, text_col: str, source_col: str, group_rows: int, fan_in: int, seed: int) -> DataFrame:
     """pivotal_mix of rows that have a unique column place, which is kept."""
     spark, ws = rows.sparkSession, Workspace(rows.sparkSession, "mixing")
-    sized = rows.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), text_size(text_col).alias("size"), "place", F.spark_partition_id().alias("run"))
-    sized = ws.save(sized.withColumn("key", F.xxhash64("id", "source", "size")), "sized")
+    sized = rows.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), text_size(text_col).alias("size"), "place", F.spark_partition_id().alias("run"), F.xxhash64(F.col(id_col), F.col(source_col).cast("string"), F.col(text_col)).alias("key"))
+    sized = ws.save(sized, "sized")
     totals = {r[0]: (r[1], r[2]) for r in sized.groupBy("source").agg(F.sum("size"), F.count(F.lit(1))).collect()}
     sizes = {s: n for s, (n, _) in totals.items()}
     targets = capped_targets(sizes, weights(list(sizes)) if callable(weights) else weights, max_ratio)
