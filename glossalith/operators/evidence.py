@@ -47,8 +47,8 @@ def facts(rows: DataFrame, order: str = "id") -> DataFrame:
 
 
 def attestations(fact_rows: DataFrame) -> DataFrame:
-    """Facts without repeats: of one value each source and rule counts once, by its first row."""
-    first = F.row_number().over(Window.partitionBy("word_id", "attribute", "value", "source_id", "rule_code").orderBy("ord"))
+    """Facts without repeats: of one value each source and rule counts once, by its first row (those without ord last)."""
+    first = F.row_number().over(Window.partitionBy("word_id", "attribute", "value", "source_id", "rule_code").orderBy(F.asc_nulls_last("ord")))
     return fact_rows.withColumn("n__", first).filter("n__ = 1").drop("n__")
 
 
@@ -56,12 +56,13 @@ def readings(fact_rows: DataFrame) -> DataFrame:
     """word_id, attribute, value, authority, attestation_count, lead_source, rank, conflict, polysemy.
 
     Readings rank by their highest authority, then by the number of attestations, then by first appearance. Several
-    values conflict when their lead attestations come from different sources, else the word has several meanings.
+    values conflict when their lead attestations come from different sources, else the word has several meanings. Facts
+    without ord come last; of facts with equal authority and ord, the smallest source_id leads.
     """
-    lead = F.min(F.struct((-F.col("authority")).alias("minus"), "ord", "source_id"))
+    lead = F.min(F.struct((-F.col("authority")).alias("minus"), F.col("ord").isNull().alias("late"), "ord", "source_id"))
     values = attestations(fact_rows).groupBy("word_id", "attribute", "k", "value").agg(F.max("authority").alias("authority"), F.count(F.lit(1)).cast("int").alias("attestation_count"), lead.alias("lead"), F.min("ord").alias("first_ord"))
     group = Window.partitionBy("word_id", "attribute")
-    ranked = values.withColumn("rank", F.row_number().over(group.orderBy(F.desc("authority"), F.desc("attestation_count"), "first_ord", "value")))
+    ranked = values.withColumn("rank", F.row_number().over(group.orderBy(F.desc("authority"), F.desc("attestation_count"), F.asc_nulls_last("first_ord"), "value")))
     several = F.count(F.lit(1)).over(group) > 1
     disagree = F.size(F.collect_set("lead.source_id").over(group)) > 1
     return ranked.select("word_id", "attribute", "k", "value", "authority", "attestation_count", F.col("lead.source_id").alias("lead_source"), "rank", (several & disagree).alias("conflict"), (several & ~disagree).alias("polysemy"))

@@ -41,7 +41,7 @@ def grammar_rows(spark, sf_dir) -> DataFrame:
         c("l_partkey").alias("word_id"),
         F.when(imported, "imported").otherwise("rule_derived").alias("provenance"),
         F.when(imported, F.when(c("l_suppkey") % 3 == 0, "shackle").when(c("l_suppkey") % 3 == 1, "ss_padarth")).alias("source_code"),
-        F.when(c("l_linenumber") % 4 != 0, F.when(c("l_suppkey") % 2 == 0, "MUKTA_OBL_SG").otherwise("AUNKAR_NOM_SG")).alias("rule_code"),
+        F.when(c("l_linenumber") % 4 == 0, None).when(c("l_suppkey") % 2 == 0, "MUKTA_OBL_SG").otherwise("AUNKAR_NOM_SG").alias("rule_code"),
         F.when(c("l_linenumber") % 5 == 0, "POS inherited from lemma x.").alias("notes"),
         F.when(c("l_partkey") % 3 == 0, "noun").when(c("l_linestatus") == "O", "adjective").when(c("l_linenumber") == 2, "").otherwise("verb").alias("pos"),
         F.when(c("l_partkey") % 2 == 0, "masculine").when(c("l_linenumber") == 1, "feminine").alias("gender"),

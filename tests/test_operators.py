@@ -287,3 +287,20 @@ def test_functions_in_sql(spark):
     assert spark.sql("select display_ipa('ਸਤਿ') a, match_fold('kərm') b, devanagari_slp1('धर्म') c").first() == ("sət̪ɪ", "karm", "Darma")
     assert [r.value for r in spark.sql("select * from grammar_facts('ਕੋਟੁ = ਕਿਲ੍ਹਾ (ਨਾਂਵ ਇਕ-ਵਚਨ) ।')").collect()] == ["singular", "noun"]
     assert [r.part for r in spark.sql("select * from sense_parts('ਸੰ. गुर ਧਾ- ਯਤਨ.')").collect()] == ["language", "pos", "residue"]
+
+
+def test_evidence_of_items_without_numbers_equals_the_sql(spark, tmp_path):
+    from glossalith.plans.evidence_queries import evidence_merge
+    from glossalith.plans.registry import ORACLES
+
+    from .compare import connect, same
+
+    rows = [
+        # a null order leads nothing while another is there, a null line has a rule, ranks take nulls last
+        (None, 1, 3, 1, "R", "F"), (5, 1, 4, 1, "R", "F"),
+        (7, 2, 1, None, "N", "F"), (7, 2, 2, 2, "N", "F"),
+        (None, 4, 5, 1, "A", "O"), (9, 4, 6, 1, "A", "F"), (None, 4, 9, 4, "A", "F"),
+        (None, None, None, None, None, None), (None, 5, 1, 1, "R", "O"),
+    ]
+    table(spark, rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_returnflag string, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    same(evidence_merge(spark, str(tmp_path)).toPandas(), connect(str(tmp_path)).sql(ORACLES["evidence_merge"]).df())
