@@ -322,3 +322,14 @@ def test_given_labels_are_learned(documents):
     rows = [(i, f"word path/to/file{i:06}name.txt and key {'q7' * 8}{i}") for i in range(60)]
     got = scan_secrets(documents(rows), label=(F.col("slashes") > 0)).collect()
     assert {(r.length > 20, r.is_secret) for r in got} == {(True, True), (False, False)}
+
+
+def test_secret_scan_writes_no_table_that_one_job_reads(documents, monkeypatch):
+    from glossalith.llm.common import Workspace
+
+    written, save = [], Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, df, name, **options: written.append(name) or save(self, df, name, **options))
+    rows = [(i, f"ordinary words here password={'k3' * 6}{i:04d} and path/to/file{i:04d}") for i in range(40)]
+    got = scan_secrets(documents(rows)).collect()
+    assert len(got) == 80 and all(r.is_secret == (r.start == 20) for r in got)
+    assert written == ["found", "vocabulary", "featured", "sample", "taught"]  # every file is a process of its own on executors' local paths
